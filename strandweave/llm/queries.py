@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from strandweave.llm import langid, mixing, packing, ring, tokenstore
+from strandweave.llm import itq, langid, minhash, mixing, mtree, packing, pagediff, ring, tokenstore
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
+    "op2_minhash": minhash.query,
     "op3_language_id": langid.query,
+    "op4_itq_dedup": itq.query,
+    "op5_mtree_search": mtree.query,
+    "op6_page_diff": pagediff.query,
     "op7_ring_shards": ring.query,
     "op8_packing": packing.query,
     "op10_mixing": mixing.query,
 }
 
-ORACLES = {"op10_mixing": mixing.SQL}
+ORACLES = {
+    "op2_minhash": minhash.SQL,
+    "op4_itq_dedup": itq.SQL,
+    "op5_mtree_search": mtree.SQL,
+    "op10_mixing": mixing.SQL,
+}
