@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import itq, langid, minhash, mixing, mtree, packing, pagediff, ring, tokenstore
+from strandweave.llm import itq, langid, minhash, mixing, mtree, packing, pagediff, ring, suffix, tokenstore
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_page_diff": pagediff.query,
     "op7_ring_shards": ring.query,
     "op8_packing": packing.query,
+    "op9_suffix_dedup": suffix.query,
     "op10_mixing": mixing.query,
 }
 
