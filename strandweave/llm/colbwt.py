@@ -22,40 +22,40 @@ def suffixes(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if not m:
         return (np.zeros(0, dtype=np.int64),) * 3
     sizes = np.array([len(d) for d in documents], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    symbols = np.zeros(int(ends[-1]) + 1, dtype=np.uint16)  # the symbol before each place, 0 where a document starts
-    symbols[1:] = np.frombuffer(b"".join(documents), dtype=np.uint8).astype(np.uint16) + 1
-    empties = ends[sizes > 0].astype(np.int32)  # a suffix is told by its place; an empty one stands at its document's end
-    first = np.zeros(len(symbols), dtype=bool)
-    first[starts] = True
-    lcp = np.zeros(len(empties), dtype=np.uint8)
-    order, alive = empties, np.ones(len(empties), dtype=bool)  # False: the suffix is a whole document
+    starts = np.cumsum(sizes + 1) - sizes - 1  # a place for each suffix, the empty one included
+    symbols = np.empty(int(sizes.sum()) + m + 1, dtype=np.uint16)  # the symbol before each place, 0 where a document starts
+    symbols[1:] = np.frombuffer(b"\0".join(documents) + b"\0\0", dtype=np.uint8)[: len(symbols) - 1]
+    symbols += 1
+    symbols[starts] = 0
+    order = empties = (starts + sizes).astype(np.int32)
+    lcp = none = np.zeros(m, dtype=np.uint8)
     for _ in range(int(sizes.max())):
-        before = np.where(alive, symbols[order], 0).astype(np.uint16)
-        dealt = np.argsort(before, kind="stable")[int((before == 0).sum()) :]
+        before = symbols[order]
+        dealt = np.argsort(before, kind="stable")
+        ordered = before[dealt]
+        dealt = dealt[(skip := int(np.searchsorted(ordered, 1))) :]
         low = np.zeros(len(dealt), dtype=np.uint8)
-        same = np.flatnonzero(before[dealt[1:]] == before[dealt[:-1]])
+        same = np.flatnonzero(ordered[skip + 1 :] == ordered[skip:-1])
         if len(same):
             low[same + 1] = np.minimum(_least(lcp, dealt[same] + 1, dealt[same + 1]), 254) + 1
-        moved = order[dealt] - 1
-        order = np.concatenate([empties, moved])
-        alive = np.concatenate([np.ones(len(empties), dtype=bool), ~first[moved]])
-        lcp = np.concatenate([np.zeros(len(empties), dtype=np.uint8), low])
-    order = order[len(empties) :].astype(np.int64)
+        order = np.concatenate([empties, order[dealt] - 1])
+        lcp = np.concatenate([none, low])
+    order = order[m:].astype(np.int64)
     doc = np.searchsorted(starts, order, side="right") - 1
-    return doc, order - starts[doc], lcp[len(empties) :].astype(np.int64)
+    return doc, order - starts[doc], lcp[m:].astype(np.int64)
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minimum of values[lo..hi], both ends included, for many ranges: from minima over spans of powers of two."""
-    level = np.frexp(hi - lo + 1)[1] - 1
-    out, spans = np.empty(len(lo), dtype=values.dtype), values
-    for k in range(int(level.max()) + 1):
-        if len(some := np.flatnonzero(level == k)):
-            out[some] = np.minimum(spans[lo[some]], spans[hi[some] + 1 - (1 << k)])
-        spans = np.minimum(spans[: -(1 << k)], spans[1 << k :]) if len(spans) > 1 << k else spans
-    return out
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1].astype(np.int64) - 1
+    n, top = len(values), int(level.max())
+    spans = np.empty((top + 1, n), dtype=values.dtype)
+    spans[0] = values
+    for k in range(top):
+        half, whole = 1 << k, n - (2 << k) + 1
+        np.minimum(spans[k, :whole], spans[k, half : half + whole], out=spans[k + 1, :whole])
+    flat, row = spans.reshape(-1), level * n
+    return np.minimum(flat[row + lo], flat[row + hi + 1 - (1 << level)])
 
 
 def repeated(documents: list[bytes], owners: np.ndarray, length: int) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that nothing refers to any more; Spark drops them once both sides collect."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def batches(blocks, columns: list[str], rows: int = 512):
     """Lists of column values from Arrow batches, at most `rows` at a time."""
     for block in blocks:

@@ -7,8 +7,9 @@ are first cut, without loss, to the places where documents can share anything (s
    representatives. Consecutive windows with the same representative form a run of at most length - k + 1 windows.
 2. Runs meet by representative. Runs of equal bytes are settled at once: all but those of the smallest id are covered. What
    is left are runs that share a representative and differ in their bytes: ends of shared passages, places of edits.
-3. Those runs' bytes, short strings, are brought together by the bytes beside the representative (half of what a window can
-   have on that side: every shared window has that much on one side at least), and their collection's transform and common
+3. A run's windows are parted by how far left of the representative they start (`PARTS` ranges of distances). All windows
+   of a part have the same bytes around the representative in common, nearly `length` of them, by which parts meet. Equal
+   parts are settled like equal runs. Of the others, short strings that agree in part, the collection's transform and common
    prefixes are built column by column. Runs of suffixes with common prefixes of `length` or more are the shared strings.
 
 Of a batch of documents, only the first owner of a run is sent on; so a passage that a third of all documents share is sent
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from strandweave.llm.colbwt import repeated
-from strandweave.llm.common import batches, keep, mix64, table
+from strandweave.llm.common import batches, keep, mix64, release, table
 from strandweave.llm.shingles import _tables as powers
 
-LENGTH, GRAM, DOCS_PER_BUCKET, BATCH, TRANSFORM_BYTES = 50, 16, 1000, 1024, 1 << 20
+LENGTH, GRAM, PARTS, DOCS_PER_BUCKET, BATCH, TRANSFORM_BYTES = 50, 20, 4, 1000, 1024, 1 << 18
 
 
 def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         """Settle equal runs of a bucket; ask for the bytes of runs that share a representative only."""
         passed = pdf[pdf["ranges"].notna()]
-        out = [pd.DataFrame({"row": np.frombuffer(b"".join(passed["docs"]), dtype=np.int64), "kind": 0, "h1": 0, "h2": 0, "ranges": passed["ranges"]})]
+        out = [pd.DataFrame({"row": np.frombuffer(b"".join(passed["docs"]), dtype=np.int64), "tag": 0, "ranges": passed["ranges"]})]
         sent = pdf[pdf["ranges"].isna()]
         if len(sent):
             ids, rows, h1, h2 = [], [], [], []
@@ -132,73 +133,106 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
             starts = np.flatnonzero(group)
             nth_group = np.cumsum(group) - 1
             mixed = (np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts))[nth_group] & ~later
-            for kind, some in ((1, later), (2, mixed)):
-                out.append(pd.DataFrame({"row": rows[some], "kind": kind, "h1": h1[some].view(np.int64), "h2": h2[some].view(np.int64), "ranges": None}))
-        return pd.concat(out, ignore_index=True)[["row", "kind", "h1", "h2", "ranges"]]
+            tags = _tags(h1, h2)
+            for kind, some in ((0, later), (1, mixed)):
+                out.append(pd.DataFrame({"row": rows[some], "tag": (tags[some] | np.uint64(kind)).view(np.int64), "ranges": None}))
+        return pd.concat(out, ignore_index=True)[["row", "tag", "ranges"]]
 
     sent = own.mapInArrow(scan, "bucket int, docs binary, h1 binary, h2 binary, nth binary, ranges binary")
-    met = keep(sent.groupBy("bucket").applyInPandas(meet, "row long, kind int, h1 long, h2 long, ranges binary"))
-    asked = met.where("kind > 0").groupBy(F.col("row").alias("asked_row")).agg(F.collect_list(F.struct("kind", "h1", "h2")).alias("asked"))
-    half = (length - gram + 1) // 2
+    met = keep(sent.groupBy("bucket").applyInPandas(meet, "row long, tag long, ranges binary"))
+    del sent  # its shuffle files are as large as the texts
+    release(docs.sparkSession)
+    asked = met.where("ranges IS NULL").groupBy(F.col("row").alias("asked_row")).agg(F.collect_list("tag").alias("asked"))
+    spare = length - gram
+    cuts = [(int(c[0]), int(c[-1])) for c in np.array_split(np.arange(spare + 1), PARTS)]
 
     def fetch(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranges of settled runs, and the bytes of the others, once for each side that is long enough."""
-        for ids, rows, texts, wanted in batches(blocks, ["doc_id", "row", "text", "asked"], rows=256):
-            out: list[tuple] = []
-            for d, row, t, ask in zip(ids, rows, texts, wanted, strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                h1, h2, first, last, place = runs(raw, length, gram)
-                tag = mix64((h1 >> np.uint64(16)) + mix64(h2 >> np.uint64(24)))
-                kinds = np.array([x["kind"] for x in ask])
-                asked_tags = mix64(np.array([x["h1"] for x in ask], dtype=np.int64).view(np.uint64) + mix64(np.array([x["h2"] for x in ask], dtype=np.int64).view(np.uint64)))
-                at = np.flatnonzero(np.isin(tag, asked_tags[kinds == 1]))
-                if len(at):
-                    out.append((None, d, row, 0, merged(first[at], last[at] + length).tobytes()))
-                at = np.flatnonzero(np.isin(tag, asked_tags[kinds == 2]))
-                for i in at.tolist():
-                    p, body = int(place[i]), raw[int(first[i]) : int(last[i]) + length]
-                    base = int(h1[i] >> np.uint64(1))
-                    if p - first[i] >= half:
-                        out.append((xxh64_intdigest(raw[p - half : p], base) - (1 << 63), d, row, int(first[i]), body))
-                    if last[i] + length - p - gram >= half:
-                        out.append((xxh64_intdigest(raw[p + gram : p + gram + half], base + 1) - (1 << 63), d, row, int(first[i]), body))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["meeting", "doc_id", "row", "first", "body"])
-
-    fetched = keep(own.join(asked, own.row == asked.asked_row).mapInArrow(fetch, "meeting long, doc_id long, row long, first long, body binary"))
+        """Ranges of settled runs (first = -1), and the bytes of the others' parts."""
+        for block in blocks:
+            for lo in range(0, block.num_rows, 256):
+                part = block.slice(lo, 256)
+                ids, rows, texts, asked = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "row", "text", "asked"))
+                ends = np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))
+                tags = asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                out: list[tuple] = []
+                for d, row, t, start, end in zip(ids.to_pylist(), rows.to_pylist(), texts.to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                    raw, mine = t.encode("utf-8", "surrogatepass"), tags[start:end]
+                    h1, h2, first, last, place = runs(raw, length, gram)
+                    own_tags = _tags(h1 >> np.uint64(16), h2 >> np.uint64(24))
+                    at = np.flatnonzero(np.isin(own_tags, mine[mine & np.uint64(1) == 0]))
+                    if len(at):
+                        out.append((row, d, row, -1, merged(first[at], last[at] + length).tobytes()))
+                    at = np.flatnonzero(np.isin(own_tags | np.uint64(1), mine[mine & np.uint64(1) == 1]))
+                    for p, f, n in zip(place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                        for k, (near, far) in enumerate(cuts):  # how far left of the representative a window starts
+                            a, b = max(near, p - n), min(far, p - f)
+                            if a <= b:
+                                out.append((xxh64_intdigest(raw[p - near : p + length - far], k) - (1 << 63), d, row, p - b, raw[p - b : p - a + length]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["meeting", "doc_id", "row", "first", "body"])
 
     def transform(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings in the order of their meeting: whole meetings, some at a time, go into one collection."""
-        meeting, pool, at, taken = [], [], None, 0
+        """Parts in the order of their meeting: equal ones are settled, the others of some meetings go into one collection."""
+        pool: list[tuple[int, bytes, list[tuple[int, int]]]] = []  # smallest id, bytes, its places (row, first)
+        meeting: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        out: list[tuple[int, bytes]] = []
+        at, taken = None, 0
 
-        def solve() -> Iterator[pa.RecordBatch]:
+        def solve() -> None:
             nonlocal pool, taken
-            hits = repeated([p[3] for p in pool], np.array([p[0] for p in pool]), length) if pool else []
-            if hits:
-                rows, starts = zip(*((pool[i][1], pool[i][2] + o) for i, o in hits), strict=True)
-                rows, starts = np.array(rows), np.array(starts)
-                out = [(int(r), merged(starts[rows == r], starts[rows == r] + length).tobytes()) for r in np.unique(rows)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], type=pa.int64()), pa.array([o[1] for o in out], type=pa.binary())], names=["row", "ranges"])
+            found: dict[int, list[int]] = {}
+            for i, o in repeated([p[1] for p in pool], np.array([p[0] for p in pool]), length) if pool else []:
+                for row, first in pool[i][2]:
+                    found.setdefault(row, []).append(first + o)
+            for row, starts in found.items():
+                starts = np.array(starts)
+                out.append((row, merged(starts, starts + length).tobytes()))
             pool, taken = [], 0
 
-        for meetings, ids, rows, firsts, bodies in batches(blocks, ["meeting", "doc_id", "row", "first", "body"], rows=4096):
+        def close() -> None:
+            nonlocal meeting, taken
+            if len(meeting) > 1 and len({x[0] for x in meeting.values()}) > 1:
+                pool.extend((d, body, places) for body, (d, places) in meeting.items())
+                taken += sum(map(len, meeting))
+                if taken > transform_bytes:
+                    solve()
+            meeting = {}
+
+        for meetings, ids, rows, firsts, bodies in batches(blocks, ["meeting", "doc_id", "row", "first", "body"], rows=8192):
             for m, d, row, f, body in zip(meetings, ids, rows, firsts, bodies, strict=True):
+                if f < 0:
+                    out.append((row, body))
+                    continue
                 if m != at:
-                    if len({x[0] for x in meeting}) > 1:
-                        pool += meeting
-                        taken += sum(len(x[3]) for x in meeting)
-                        if taken > transform_bytes:
-                            yield from solve()
-                    meeting, at = [], m
-                meeting.append((d, row, f, body))
-        if len({x[0] for x in meeting}) > 1:
-            pool += meeting
-        yield from solve()
-
-    strings = fetched.where("meeting IS NOT NULL").repartition("meeting").sortWithinPartitions("meeting", "doc_id")
-    late = strings.mapInArrow(transform, "row long, ranges binary")
-    ranges = met.where("kind = 0").select("row", "ranges").union(fetched.where("meeting IS NULL").select("row", F.col("body").alias("ranges"))).union(late)
-    return keep(ranges).groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+                    close()
+                    at = m
+                owner, places = meeting.setdefault(body, (d, []))
+                if owner < d:  # ids ascend within a meeting
+                    out.append((row, np.array([f, f + len(body)], dtype=np.int64).tobytes()))
+                else:
+                    places.append((row, f))
+            if out:
+                yield batch(out)
+                out = []
+        close()
+        solve()
+        if out:
+            yield batch(out)
+
+    def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["row", "ranges"])
+
+    fetched = own.join(asked, own.row == asked.asked_row).mapInArrow(fetch, "meeting long, doc_id long, row long, first int, body binary")
+    late = fetched.repartition("meeting").sortWithinPartitions("meeting", "doc_id").mapInArrow(transform, "row long, ranges binary")
+    ranges = keep(met.where("ranges IS NOT NULL").select("row", "ranges").union(late))
+    del asked, fetched, late
+    release(docs.sparkSession)
+    return ranges.groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+
+
+def _tags(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """A number for each run from its two (cut) hashes; the lowest bit is free."""
+    return mix64(h1 + mix64(h2)) & ~np.uint64(1)
 
 
 def _cut(values: np.ndarray, size: int) -> bytes:
