@@ -12,16 +12,32 @@ An empty table gives an empty result. Columns besides those of `documents` are n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.llm import langid, minhash, mixing, packing, suffix
 from strandweave.llm.common import keep, table
+from strandweave.plans.shipping import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _shipped(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
     found = langid.predict(docs, langid.fit(docs))
@@ -29,6 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
+@_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, k=5)
     stay = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -37,11 +54,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
+@_shipped
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix.dedup(docs.select(COLUMNS), as_text=True).where("kept <> ''")
     return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(COLUMNS)
 
 
+@_shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
     copies = mixing.sample(docs, key="row").groupBy(F.col("doc_id").alias("row")).agg(F.max("copies").alias("copies"))
@@ -49,6 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
+@_shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
