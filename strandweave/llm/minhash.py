@@ -4,11 +4,12 @@ One hash per shingle serves all `bands * rows` bins; the bin is the hash's leadi
 empty bin borrows from a filled one that a fixed random order of bins, drawn for that bin alone, names first; so borrowed
 values are as good as independent ones, also for very short texts. Signatures are cut into bands, hashed to buckets.
 
-Documents with equal sets form one class, of which one representative goes on. A bucket of m representatives yields 2 (m - 1)
-candidate edges: a star around its smallest id and one around a member picked by hash. Candidates of compatible size are
-confirmed on whole shingle sets. What stars can miss, a link between two members that both fail against the centres, is
-found by a last round over pairs that share a bucket but not a component. With 40 bands of 6 rows a pair at the threshold
-is missed with probability (1 - 0.8**6)**40 = 6e-6.
+Documents with equal sets form one class, of which one representative goes on. A bucket of m representatives yields a star
+of m - 1 candidate edges around its smallest id; then, for members that are in other components by now, one around a member
+picked by hash. Candidates of compatible size are confirmed on whole shingle sets. What stars can miss, a link between two
+members that both fail against the centres, is found by a last round over the pairs that share a bucket but not a component,
+each taken in the first bucket that it shares. With 40 bands of 6 rows a pair at the threshold is missed with probability
+(1 - 0.8**6)**40 = 6e-6.
 
 A null, empty or blank text has an empty set and links with nothing. Rows that share an id count as one document. Rows
 without an id get n_shingles, no component, and are kept. Ties go to the smallest id. An empty table gives an empty
@@ -83,7 +84,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = keep(classes)
     one = classes.select(F.col("rep").alias("doc_id")).distinct()
-    entries = signed.where("fp1 IS NOT NULL").join(one, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    entries = signed.where("fp1 IS NOT NULL").join(one, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp"), F.posexplode("bands").alias("band", "bucket"))
     pick = F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))
     buckets = entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), pick["rep"].alias("pick")).where("low < high")
     members = keep(entries.join(buckets.drop("high"), "bucket"))
@@ -112,27 +113,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
-    sized = F.col("na") * 100 >= F.col("nb") * percent, F.col("nb") * 100 >= F.col("na") * percent
+    def compatible(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(sizes.toDF("a", "la", "ma"), "a").join(sizes.toDF("b", "lb", "mb"), "b")
+        return pairs.where((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent)).select("a", "b")
+
+    def placed(rows: DataFrame, node: str, name: str) -> DataFrame:
+        """The rows with the component so far of a node."""
+        rows = rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
+        return rows.withColumn(name, F.coalesce(name, node))
+
+    def merge(links: DataFrame) -> DataFrame:
+        """The components, joined by further links: what is solved anew is the graph of components only."""
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti")
+        joined = placed(placed(links, "a", "ca"), "b", "cb").select("ca", "cb").where("ca <> cb")
+        up = components(joined, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        every = found.select("node", "component").union(ends.select("node", F.col("node").alias("component")))
+        return keep(every.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     sizes = classes.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    stars = members.select("rep", "n", F.explode(F.array("low", "pick")).alias("centre")).where("rep <> centre")
-    stars = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    near = stars.join(sizes.toDF("a", "la", "ma"), "a").join(sizes.toDF("b", "lb", "mb"), "b")
-    near = near.where((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent)).select("a", "b")
-    links = confirm(near)
+    links = confirm(compatible(members.where("rep <> low").select(*ordered("rep", "low"))))
     found = keep(components(links))
+    apart = placed(placed(members.where("rep <> pick").select("rep", "pick"), "rep", "c1"), "pick", "c2").where("c1 <> c2")
+    more = confirm(compatible(apart.select(*ordered("rep", "pick"))))
+    if not more.isEmpty():
+        found = merge(more)
 
     # exact rest: pairs that share a bucket, but no component
-    placed = members.select("rep", "n", "bucket").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-    placed = keep(placed.join(mixed, "bucket"))
-    x = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized[0] & sized[1]).select("a", "b").distinct()
-    rest = rest.join(links, ["a", "b"], "left_anti")
-    late = confirm(rest)
+    rest = placed(members.select("rep", "fp", "bucket", "band"), "rep", "component")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+    rest = keep(rest.join(mixed, "bucket"))
+    owners = rest.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp1")).distinct()
+    own_bands = signed.join(owners, ["doc_id", "fp1"], "left_semi").groupBy(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp")).agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    rest = rest.join(own_bands, ["rep", "fp"])
+    x, y = (rest.select(F.col("bucket"), F.col("band").alias(f"band_{i}"), F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}"), F.col("bands").alias(f"s{i}")) for i in "ab")
+    first = F.array_position(F.zip_with("sa", "sb", lambda p, q: p == q), True) == F.col("band_a") + 1
+    pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & first)
+    late = confirm(pairs.select("a", "b").join(more.union(links), ["a", "b"], "left_anti"))
     if not late.isEmpty():
-        found = keep(components(links.union(late)))
+        found = merge(late)
 
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(groups.withColumnsRenamed({"fp1": "g1", "fp2": "g2"}), (F.col("fp1") == F.col("g1")) & (F.col("fp2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
