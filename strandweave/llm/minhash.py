@@ -8,7 +8,8 @@ Documents with equal sets form one class, of which one representative goes on. A
 of m - 1 candidate edges around its smallest id; then, for members that are in other components by now, one around a member
 picked by hash. Candidates of compatible size are confirmed on whole shingle sets. What stars can miss, a link between two
 members that both fail against the centres, is found by a last round over the pairs that share a bucket but not a component,
-each taken in the first bucket that it shares. With 40 bands of 6 rows a pair at the threshold is missed with probability
+each taken in the first bucket that it shares, and only if both have enough shingles that occur in any other document of
+that round (a document with many shingles of its own can't be similar to any). With 40 bands of 6 rows a pair at the threshold is missed with probability
 (1 - 0.8**6)**40 = 6e-6.
 
 A null, empty or blank text has an empty set and links with nothing. Rows that share an id count as one document. Rows
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import batches, components, keep, mix64, table
-from strandweave.llm.shingles import common, packed, shingle_set
+from strandweave.llm.shingles import common, packed, shingle_set, unpacked
 
 BANDS, ROWS, PERCENT = 40, 6, 80
 
@@ -93,9 +94,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     def gather(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(blocks, ["doc_id", "text"]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([packed(shingle_set(t, k)) for t in texts], type=pa.binary())], names=["doc_id", "shingles"])
+            found = [shingle_set(t, k) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([int(v.sum().view(np.int64)) for v in found], type=pa.int64()), pa.array([packed(v) for v in found], type=pa.binary())], names=["doc_id", "fp", "shingles"])
 
-    sets = keep(own.join(nodes, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, shingles binary"))
+    sets = keep(own.join(nodes, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, fp long, shingles binary"))
+
+    def spread(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, fps, raws in batches(blocks, ["doc_id", "fp", "shingles"], rows=256):
+            values = [unpacked(r) for r in raws]
+            sizes = [len(v) for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=np.int64), sizes)) for c in (ids, fps)] + [pa.array(np.concatenate(values).astype(np.int64))], names=["doc_id", "fp", "shingle"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold, by the whole sets."""
@@ -145,10 +153,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rest = keep(rest.join(mixed, "bucket"))
     owners = rest.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp1")).distinct()
     own_bands = signed.join(owners, ["doc_id", "fp1"], "left_semi").groupBy(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp")).agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
-    rest = rest.join(own_bands, ["rep", "fp"])
-    x, y = (rest.select(F.col("bucket"), F.col("band").alias(f"band_{i}"), F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}"), F.col("bands").alias(f"s{i}")) for i in "ab")
+    # shingles that occur in one document only can't be common to a pair
+    alone = sets.join(owners.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(spread, "doc_id long, fp long, shingle long")
+    alone = alone.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp")).where("c = 1").groupBy("rep", "fp").agg(F.count("*").alias("own"))
+    rest = keep(rest.join(own_bands, ["rep", "fp"]).join(alone, ["rep", "fp"], "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))))
+    x, y = (rest.select(F.col("bucket"), F.col("band").alias(f"band_{i}"), F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}"), F.col("m").alias(f"m{i}"), F.col("bands").alias(f"s{i}")) for i in "ab")
+    enough = F.least("ma", "mb") * 100 >= (F.col("na") + F.col("nb") - F.least("ma", "mb")) * percent
     first = F.array_position(F.zip_with("sa", "sb", lambda p, q: p == q), True) == F.col("band_a") + 1
-    pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & first)
+    pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & enough & first)
     late = confirm(pairs.select("a", "b").join(more.union(links), ["a", "b"], "left_anti"))
     if not late.isEmpty():
         found = merge(late)
