@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -39,9 +40,12 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of frames that nothing refers to any more; Spark drops them once both sides collect."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of the shuffle files of frames that nothing refers to any more: Spark drops them once both sides have
+    collected their garbage, which takes more than one turn."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def batches(blocks, columns: list[str], rows: int = 512):
