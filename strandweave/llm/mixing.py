@@ -7,8 +7,9 @@ remains for it and all later ones.
 
 Sampling: each document is taken floor(target / source size) times. The rest of the target is shared by the source's size
 classes (documents of as many binary digits) in proportion to their sizes, and filled in each class by its documents in a
-seeded order (MD5 of seed and id), up to the document at which the sum comes nearest. One class of small documents then
-takes what all others leave, so that a source ends within half a small document of its target. The running sums go over
+seeded order (MD5 of seed and id), up to the document at which the sum comes nearest. The smallest class that has room for
+what all others leave then takes that, so that a source ends within half a document of that class of its target; where no
+class has room, the classes' own roundings, half a document each at most, add up. The running sums go over
 hash buckets of each class, so that a source with a third of all rows is spread over many tasks. Reruns agree, as the
 order depends on nothing but the row.
 
