@@ -69,7 +69,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
 
     Alternates large-star and small-star steps until the edge set is a set of stars. Each step is a grouped minimum
     (partial aggregation first) and a join of single-row groups to their members, which adaptive execution can split
-    when one centre is hot. No neighbour list is ever gathered.
+    when one centre is hot. No neighbour list is ever gathered. Raises if `rounds` steps don't get there.
     """
     ids = lambda u, v: links.select(F.col(u).alias("u"), F.col(v).alias("v"))
     edges = keep(ids(left, right).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -84,9 +84,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
         edges = keep(small.select(F.col("e.x").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         if _mark(edges) == before:
             break
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v"), F.col("v"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    """Count and checksum of distinct edges; exclusive or can't overflow, however many there are."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

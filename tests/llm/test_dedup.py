@@ -3,12 +3,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandweave.llm import itq, minhash, mtree, suffix
 from strandweave.llm.colbwt import repeated, suffixes
-from strandweave.llm.common import components
+from strandweave.llm.common import _mark, components
 from strandweave.llm.shingles import common, packed, shingle_set
 
 
@@ -35,6 +36,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_more_than_2_to_the_24_edges(spark):
+    n = 18_000_000
+    edges = spark.range(1, n + 1).selectExpr("id AS u", "0L AS v")
+    mark = _mark(edges)
+    assert mark[0] == n
+    assert mark == _mark(edges.repartition(3))
+    assert mark != _mark(edges.selectExpr("u", "IF(u = 5, -1L, v) AS v"))
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    with pytest.raises(RuntimeError, match="not final"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
