@@ -129,6 +129,21 @@ def test_page_lines():
     assert pagediff.lines("<div>" * 3000 + "deep")[0] == ["deep"]
 
 
+@pytest.mark.parametrize("tag", ['article class="post category-social"', 'article class="post tag-search"', 'main class="content has-sidebar"', 'main id="main" class="social header"', 'article class="post" id="post-comments-12"'])
+def test_main_elements_are_not_left_out_for_a_part_of_a_class(tag):
+    name = tag.split()[0]
+    assert pagediff.lines(f"<body><p>other</p><{tag}><p>own text</p></{name}><p>more</p></body>") == (["other", "own text", "more"], [False, True, False])
+
+
+def test_marks_are_whole_names():
+    assert pagediff.lines('<html class="has-sidebar"><body><p>text</p></body></html>')[0] == ["text"]
+    assert pagediff.lines('<html class="sidebar"><body class="search"><p>text</p></body></html>')[0] == ["text"]
+    kept = '<article><div class="no-comments">a</div><h2 class="section-header">b</h2><p id="x-share-y">c</p><span class="non-ad">d</span></article>'
+    assert pagediff.lines(kept) == (["a", "b", "c", "d"], [True] * 4)
+    gone = '<div class="wide ad">a</div><div id="comments">b</div><p class="cookie-banner">c</p><div class="site-footer">d</div><div role="search">e</div><article class="comment odd">f</article><article id="ad">g</article><p>own</p>'
+    assert pagediff.lines(gone)[0] == ["own"]
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(100):
