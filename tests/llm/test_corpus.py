@@ -169,6 +169,25 @@ def test_pages(spark):
     assert pagediff.extract(frame.limit(0)).collect() == []
 
 
+def test_pages_do_not_depend_on_partitions(spark):
+    rows = [(i, f"http://h{i // 7}.org/a/{i}", PLAIN.format(i) if i % 5 else PAGE.format(i)) for i in range(61)] + [(100 + i, f"http://lone{i}.org/", PLAIN.format(i)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    found = []
+    try:
+        for n in (1, 3, 40, 100):
+            spark.conf.set(names[0], n)
+            spark.conf.set(names[1], "false")
+            found.append(sorted(pagediff.extract(frame).collect()))
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    assert len(found[0]) == len(rows) and all(f == found[0] for f in found)
+    texts = {r.page_id: r.text for r in found[0]}
+    assert all(texts[i] == f"Own {i} text More of {i}" for i in range(1, 60) if i % 5 and i % 7 in range(2, 5) and (i - 1) % 5 and (i + 1) % 5)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, tmp_path, name, docs_of, odd):
     rng = random.Random(11)
