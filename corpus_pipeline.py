@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over `documents`; each stage's rows are written as Parquet and read again by the next.
 
-language_id     documents without a language, or between two, go; a missing lang is filled in
+language_id     documents without a language, or between two, go; a missing lang is filled in. Without any labelled row to
+                learn from, only texts without letters go, and a missing lang stays so
 near_dedup      of documents with similar sets of five-word shingles, the smallest id stays; of rows with one id, one
 suffix_dedup    passages of 50 bytes and more that an earlier document has are cut out; what is left empty goes
 mixing          documents are repeated or left out so that the sources meet their target weights
@@ -40,7 +41,10 @@ def _shipped(stage: Stage) -> Stage:
 @_shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    found = langid.predict(docs, langid.fit(docs))
+    model = langid.fit(docs)
+    if not model.langs:  # every text would be without a language
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model)
     good = found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
     return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 

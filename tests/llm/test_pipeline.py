@@ -1,5 +1,6 @@
 import random
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -65,6 +66,13 @@ def test_stages(spark, corpus):
     assert Counter(r.doc_id for r in five if r.piece == 0) == Counter(r.doc_id for r in four.collect())
 
 
+def test_no_language_to_learn_keeps_texts_with_letters(spark, docs_of):
+    held_out = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for rows in ([(1, "clean text", None), (2, "日本語", None), (3, "12 34", None), (4, None, None), (5, "", None)], [(1, "clean text", None), (2, "åé", None), (held_out, "abc", "en")]):
+        found = {r.doc_id: r.lang for r in dict(pipeline.STAGES)["language_id"](spark, docs_of(rows), "").collect()}
+        assert found == {d: lang for d, t, lang in rows if t and t != "12 34"}
+
+
 def test_empty_table(spark, docs_of, tmp_path):
     docs_of([], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
