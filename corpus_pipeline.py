@@ -2,7 +2,7 @@
 
 language_id     documents without a language, or between two, go; a missing lang is filled in. Without any labelled row to
                 learn from, only texts without letters go, and a missing lang stays so
-near_dedup      of documents with similar sets of five-word shingles, the smallest id stays; of rows with one id, one
+near_dedup      of documents with similar sets of five-word shingles, the smallest id stays, also among rows of one id
 suffix_dedup    passages of 50 bytes and more that an earlier document has are cut out; what is left empty goes
 mixing          documents are repeated or left out so that the sources meet their target weights
 packing         tokens are cut and packed into sequences
@@ -51,10 +51,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, k=5)
-    stay = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source"))
-    kept = docs.select(COLUMNS).join(stay, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    own = docs.where("doc_id IS NOT NULL").select(*COLUMNS, suffix.row_key().alias("row"))
+    found = minhash.near_duplicates(own.select("row", "text"), key="row", k=5).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    least = F.min(F.struct("doc_id", "row"))["row"].alias("row")
+    stay = found.join(own.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(least).select("row")
+    first = Window.partitionBy("row").orderBy(F.xxhash64("lang", "source"))
+    kept = own.join(stay, "row", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return kept.select(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
 
 

@@ -73,6 +73,14 @@ def test_no_language_to_learn_keeps_texts_with_letters(spark, docs_of):
         assert found == {d: lang for d, t, lang in rows if t and t != "12 34"}
 
 
+def test_different_texts_of_one_id_stay(spark, docs_of):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (7, text("B")), (3, text("a")), (9, text("c")), (9, text("d") + " end"), (5, text("d")), (4, None), (4, ""), (None, text("a"))]
+    found = [(r.doc_id, (r.text or "").lower()) for r in dict(pipeline.STAGES)["near_dedup"](spark, docs_of(rows), "").collect()]
+    want = [(7, text("b")), (3, text("a")), (9, text("c")), (5, text("d")), (4, ""), (4, ""), (None, text("a"))]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark, docs_of, tmp_path):
     docs_of([], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
