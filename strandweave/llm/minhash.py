@@ -5,12 +5,18 @@ empty bin borrows from a filled one that a fixed random order of bins, drawn for
 values are as good as independent ones, also for very short texts. Signatures are cut into bands, hashed to buckets.
 
 Documents with equal sets form one class, of which one representative goes on. A bucket of m representatives yields a star
-of m - 1 candidate edges around its smallest id; then, for members that are in other components by now, one around a member
-picked by hash. Candidates of compatible size are confirmed on whole shingle sets. What stars can miss, a link between two
-members that both fail against the centres, is found by a last round over the pairs that share a bucket but not a component,
-each taken in the first bucket that it shares, and only if both have enough shingles that occur in any other document of
-that round (a document with many shingles of its own can't be similar to any). With 40 bands of 6 rows a pair at the threshold is missed with probability
-(1 - 0.8**6)**40 = 6e-6.
+of m - 1 candidate edges around its smallest set. Edges are confirmed on the whole sets, by 64-bit hashes of their shingles.
+
+What stars miss is a link between two members that are in no component together. It is found without comparing a bucket's
+members pair by pair. Let c be the centre, no larger than x and y, M(x) the shingles of c that x lacks, and D(x) those of x
+that c lacks. Then |x & y| = |c| - |M(x) | M(y)| + |D(x) & D(y)|. If x and y are linked and one of them isn't linked with c,
+|D(x) & D(y)| comes out above 0: they share a shingle that c lacks. So the members of such a bucket are dealt anew by the
+shingles that their centre lacks, which are rare where copies were edited each in its own way; a member with fewer shared
+ones than any partner would need is left out, and of the others' only as many are used, rarest first, as can't all be
+missed. Buckets of at most `SMALL` members are compared in full; the larger ones get stars and are dealt anew, up to
+`LEVELS` times, after which what is left is compared in full. Nothing is dropped, capped or sampled.
+
+With 40 bands of 6 rows a pair at the threshold shares no bucket with probability (1 - 0.8**6)**40 = 6e-6.
 
 A null, empty or blank text has an empty set and links with nothing. Rows that share an id count as one document. Rows
 without an id get n_shingles, no component, and are kept. Ties go to the smallest id. An empty table gives an empty
@@ -20,16 +26,23 @@ result. Only id and text are read, so extra columns with clashing names don't ma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import batches, components, keep, mix64, table
-from strandweave.llm.shingles import common, packed, shingle_set, unpacked
+from strandweave.llm.shingles import shingle_set
+
+BANDS, ROWS, PERCENT, SMALL, LEVELS = 40, 6, 80, 4, 3
 
-BANDS, ROWS, PERCENT = 40, 6, 80
+
+@lru_cache(maxsize=64)
+def _recent(text: str, k: int) -> np.ndarray:
+    """Sets of the texts compared last: rows come in the order of one side."""
+    return shingle_set(text, k)
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -65,6 +78,16 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def needed(p: int, a: Column, b: Column) -> Column:
+    """How many shingles sets of two sizes must share to reach `p` per cent: p * (a + b) / (100 + p), rounded up."""
+    return F.ceil((a + b) * p / F.lit(100 + p) - F.lit(1e-9))
+
+
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a non-empty set from others."""
+    return int(s.sum().view(np.int64)), int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each input row."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -75,95 +98,97 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             for d, t in zip(ids, texts, strict=True):
                 s = shingle_set(t, k)
                 if len(s) and d is not None:
-                    out.append((d, len(s), int(s.sum().view(np.int64)), int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)), band_keys(s, bands, rows)))
+                    out.append((d, len(s), *fingerprints(s), band_keys(s, bands, rows)))
                 else:
                     out.append((d, len(s), None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
     signed = keep(own.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
-    classes = signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes)
-    one = classes.select(F.col("rep").alias("doc_id")).distinct()
-    entries = signed.where("fp1 IS NOT NULL").join(one, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp"), F.posexplode("bands").alias("band", "bucket"))
-    pick = F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))
-    buckets = entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), pick["rep"].alias("pick")).where("low < high")
-    members = keep(entries.join(buckets.drop("high"), "bucket"))
-
-    nodes = members.select(F.col("rep").alias("doc_id")).distinct()
+    classes = keep(signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    one = classes.select(F.col("rep").alias("doc_id"), "fp1").distinct()
+    entries = signed.join(one, ["doc_id", "fp1"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    members = keep(entries.join(_sizes(entries).where("c > 1").select("bucket", "low"), "bucket"))
+    nodes = members.select(F.col("rep").alias("doc_id"), "fp").distinct()
 
     def gather(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(blocks, ["doc_id", "text"]):
-            found = [shingle_set(t, k) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([int(v.sum().view(np.int64)) for v in found], type=pa.int64()), pa.array([packed(v) for v in found], type=pa.binary())], names=["doc_id", "fp", "shingles"])
-
-    sets = keep(own.join(nodes, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, fp long, shingles binary"))
+            fps = [int(shingle_set(t, k).sum().view(np.int64)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(fps, type=pa.int64()), pa.array(texts, type=pa.string())], names=["doc_id", "fp", "text"])
 
-    def spread(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, fps, raws in batches(blocks, ["doc_id", "fp", "shingles"], rows=256):
-            values = [unpacked(r) for r in raws]
-            sizes = [len(v) for v in values]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=np.int64), sizes)) for c in (ids, fps)] + [pa.array(np.concatenate(values).astype(np.int64))], names=["doc_id", "fp", "shingle"])
+    texts = own.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(gather, "doc_id long, fp long, text string")
+    texts = keep(texts.dropDuplicates(["doc_id", "fp"]))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the threshold, by the whole sets."""
+    def compared(pairs: DataFrame, deal: bool) -> DataFrame:
+        """For pairs (a, fa, b, fb): sizes, whether they are linked, how many of b's shingles a lacks and, to `deal` them, those that b lacks."""
 
         def check(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for a, b, x, y in batches(blocks, ["a", "b", "x", "y"]):
-                good = []
+            for a, fa, b, fb, x, y in batches(blocks, ["a", "fa", "b", "fb", "x", "y"]):
+                out = []
                 for i in range(len(a)):
-                    both = common(x[i], y[i])
-                    if 100 * both >= percent * (len(x[i]) // 5 + len(y[i]) // 5 - both):
-                        good.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], type=pa.int64()) for c in (a, b)], names=["a", "b"])
-
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-
-    def compatible(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(sizes.toDF("a", "la", "ma"), "a").join(sizes.toDF("b", "lb", "mb"), "b")
-        return pairs.where((F.col("ma") * 100 >= F.col("lb") * percent) & (F.col("mb") * 100 >= F.col("la") * percent)).select("a", "b")
-
-    def placed(rows: DataFrame, node: str, name: str) -> DataFrame:
-        """The rows with the component so far of a node."""
-        rows = rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
-        return rows.withColumn(name, F.coalesce(name, node))
+                    u, v = _recent(x[i], k), _recent(y[i], k)
+                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                    common = v[at] == u
+                    both = int(common.sum())
+                    linked = 100 * both >= percent * (len(u) + len(v) - both)
+                    out.append((a[i], fa[i], len(u), b[i], fb[i], len(v), linked, len(v) - both, u[~common].view(np.int64) if deal else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        long = pa.int64()
+        kinds = {"a": long, "fa": long, "na": long, "b": long, "fb": long, "nb": long, "linked": pa.bool_(), "missing": long, "added": pa.list_(long)}
+        left = texts.select(F.col("doc_id").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("x"))
+        right = texts.select(F.col("doc_id").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("y"))
+        both = pairs.join(left, ["a", "fa"]).join(right, ["b", "fb"]).select("a", "fa", "b", "fb", "x", "y")
+        return both.mapInArrow(check, "a long, fa long, na long, b long, fb long, nb long, linked boolean, missing long, added array<long>")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return keep(compared(pairs, False).where("linked").select("a", "b"))
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """Each member with its bucket's centre, the smallest set; buckets that agree in both give one pair."""
+        centres = rows.where(_rank() == F.col("low")).select("bucket", F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+        pairs = rows.select("bucket", F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")).join(centres, "bucket")
+        return pairs.where((F.col("a") != F.col("b")) | (F.col("fa") != F.col("fb"))).drop("bucket").distinct()
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """The rows with the component so far of each member."""
+        rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        return rows.withColumn("component", F.coalesce("component", "rep"))
 
     def merge(links: DataFrame) -> DataFrame:
         """The components, joined by further links: what is solved anew is the graph of components only."""
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti")
-        joined = placed(placed(links, "a", "ca"), "b", "cb").select("ca", "cb").where("ca <> cb")
+        side = lambda i: found.select(F.col("node").alias(i), F.col("component").alias(f"c{i}"))
+        joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
         up = components(joined, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
         every = found.select("node", "component").union(ends.select("node", F.col("node").alias("component")))
         return keep(every.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    sizes = classes.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    links = confirm(compatible(members.where("rep <> low").select(*ordered("rep", "low"))))
-    found = keep(components(links))
-    apart = placed(placed(members.where("rep <> pick").select("rep", "pick"), "rep", "c1"), "pick", "c2").where("c1 <> c2")
-    more = confirm(compatible(apart.select(*ordered("rep", "pick"))))
-    if not more.isEmpty():
-        found = merge(more)
-
-    # exact rest: pairs that share a bucket, but no component
-    rest = placed(members.select("rep", "fp", "bucket", "band"), "rep", "component")
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-    rest = keep(rest.join(mixed, "bucket"))
-    owners = rest.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp1")).distinct()
-    own_bands = signed.join(owners, ["doc_id", "fp1"], "left_semi").groupBy(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp")).agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
-    # shingles that occur in one document only can't be common to a pair
-    alone = sets.join(owners.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(spread, "doc_id long, fp long, shingle long")
-    alone = alone.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp")).where("c = 1").groupBy("rep", "fp").agg(F.count("*").alias("own"))
-    rest = keep(rest.join(own_bands, ["rep", "fp"]).join(alone, ["rep", "fp"], "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))))
-    x, y = (rest.select(F.col("bucket"), F.col("band").alias(f"band_{i}"), F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}"), F.col("m").alias(f"m{i}"), F.col("bands").alias(f"s{i}")) for i in "ab")
-    enough = F.least("ma", "mb") * 100 >= (F.col("na") + F.col("nb") - F.least("ma", "mb")) * percent
-    first = F.array_position(F.zip_with("sa", "sb", lambda p, q: p == q), True) == F.col("band_a") + 1
-    pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & enough & first)
-    late = confirm(pairs.select("a", "b").join(more.union(links), ["a", "b"], "left_anti"))
-    if not late.isEmpty():
-        found = merge(late)
+    close = needed(percent, F.col("na"), F.col("nb")) <= F.least("na", "nb")
+    found = keep(components(linked(stars(members).where(close).select("a", "fa", "b", "fb"))))
+
+    # what stars miss. Of a member: `base`, the size of its last centre (at first the empty set), `m`, how many of that
+    # centre's shingles it lacks, and `s`, how many others it has that any other member has as well
+    entries = members.select("bucket", "rep", "fp", "n", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("m"), F.col("n").alias("s"))
+    for level in range(LEVELS + 1):
+        entries = placed(entries)
+        rest = keep(entries.join(_sizes(entries).where("c1 < c2").select("bucket", "low", "c"), "bucket"))
+        if rest.isEmpty():
+            break
+        wide = F.lit(level < LEVELS) & (F.col("c") > SMALL)
+        known = (_rank() == F.col("low")) if level == 0 else F.lit(False)  # compared with its bucket's centre above
+        x, y = (rest.where(~wide & ~known).select("bucket", "base", F.col("component").alias(f"c{i}"), F.col("rep").alias(i), F.col("fp").alias(f"f{i}"), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"), F.col("s").alias(f"s{i}")) for i in "ab")
+        enough = needed(percent, F.col("na"), F.col("nb")) - x.base + F.greatest("ma", "mb") <= F.least("sa", "sb")
+        pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & enough)
+        late, star = linked(pairs.select("a", "fa", "b", "fb").distinct()), None
+        if not rest.where(wide).isEmpty():
+            star = keep(compared(stars(rest.where(wide)).select("a", "fa", "b", "fb"), True))
+            late = late.union(star.where("linked").select("a", "b"))
+        if not late.isEmpty():
+            found = merge(late)
+        if star is None:
+            break
+        entries = _dealt(star, percent)
 
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(groups.withColumnsRenamed({"fp1": "g1", "fp2": "g2"}), (F.col("fp1") == F.col("g1")) & (F.col("fp2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
@@ -171,6 +196,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _rank() -> Column:
+    """Orders sets by size; ties by a hash, so that even one of many equals is seldom taken for another."""
+    return F.shiftleft("n", 31).bitwiseOR(F.xxhash64("rep", "fp").bitwiseAND(0x7FFFFFFF))
+
+
+def _sizes(entries: DataFrame) -> DataFrame:
+    """Of each bucket: members, rank of the smallest set and, where components are known, the least and the largest."""
+    more = [F.min("component").alias("c1"), F.max("component").alias("c2")] if "component" in entries.columns else []
+    return entries.groupBy("bucket").agg(F.count("*").alias("c"), F.min(_rank()).alias("low"), *more)
+
+
+def _dealt(star: DataFrame, percent: int) -> DataFrame:
+    """Entries of buckets by (centre, shingle that the centre lacks), for members that may have a partner among them."""
+    every = star.select("a", "fa", "na", "b", "fb", "nb", "missing", F.explode("added").alias("g"))
+    counts = every.groupBy("b", "fb", "g").agg(F.count("*").alias("c")).where("c > 1")
+    shared = every.join(counts, ["b", "fb", "g"]).groupBy("a", "fa", "b", "fb").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("missing").alias("m"), F.sort_array(F.collect_list(F.struct("c", "g"))).alias("items"))
+    least = F.greatest(F.col("nb"), F.ceil(F.col("na") * percent / F.lit(100) - F.lit(1e-9)))  # no partner is smaller
+    least = F.greatest(F.lit(1).cast("long"), needed(percent, F.col("na"), least) - F.col("nb") + F.col("m"))
+    shared = shared.withColumn("s", F.size("items").cast("long")).withColumn("least", least).where("s >= least")
+    item = F.explode(F.slice("items", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))).alias("item")
+    shared = shared.select(F.col("a").alias("rep"), F.col("fa").alias("fp"), F.col("na").alias("n"), F.col("nb").alias("base"), "m", "s", "b", "fb", item)
+    return shared.select(F.xxhash64("b", "fb", "item.g").alias("bucket"), "rep", "fp", "n", "base", "m", "s")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

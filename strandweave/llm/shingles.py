@@ -50,18 +50,3 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
         out = mix64(out + words[i : len(words) - size + 1 + i])
     return np.unique(out)
 
-
-def packed(values: np.ndarray) -> bytes:
-    """Sorted hashes cut to their upper 40 bits, 5 bytes each."""
-    short = values >> np.uint64(24)
-    return (short >> np.uint64(8)).astype("<u4").tobytes() + (short & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return (np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64)
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Size of the intersection of two packed sets."""
-    return len(np.intersect1d(unpacked(a), unpacked(b), assume_unique=True))
