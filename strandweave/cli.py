@@ -7,12 +7,16 @@ import logging
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from strandweave.config import Config, size_to_bytes
-from strandweave.plans.assemble import build_graph
+from strandweave.operators.graph import per_length
+from strandweave.plans.assemble import build_graph, run_summary
+from strandweave.plans.shipping import ship
+from strandweave.plans.storage import cleanup, use_folder
 from strandweave.sinks.writers import write
 from strandweave.sources.fastq import equal_length, read_fastq
-from strandweave.timing import Timings
+from strandweave.timing import Timings, log
 
 
 def parse(argv: list[str] | None = None) -> Config:
@@ -24,7 +28,8 @@ def parse(argv: list[str] | None = None) -> Config:
     p.add_argument("-r", "--task-bytes", type=size_to_bytes, default=1 << 30)
     p.add_argument("-b", "--base-block", type=size_to_bytes, default=32 << 20, help="accepted and ignored")
     p.add_argument("-c", "--pair-block", type=size_to_bytes, default=64 << 20, help="accepted and ignored")
-    p.add_argument("--format", choices=["binary", "gfa", "csv", "adjacency"], default="binary")
+    p.add_argument("--format", choices=["binary", "gfa", "csv", "adjacency", "csr"], default="binary")
+    p.add_argument("--wide-ids", action="store_true", help="64-bit ids in binary records")
     p.add_argument("--all-overlaps", action="store_true")
     p.add_argument("--incomplete", choices=["strict", "drop"], default="strict")
     return Config(**vars(p.parse_args(argv)))
@@ -36,13 +41,22 @@ def main(argv: list[str] | None = None) -> Timings:
     spark = SparkSession.builder.appName("strandweave").getOrCreate()
     for k, v in config.spark_settings().items():
         spark.conf.set(k, v)
-    with timings.phase("map"):
-        reads = read_fastq(spark, config.input, config.incomplete)
-        equal_length(reads)
-    with timings.phase("reduce"):
-        graph = build_graph(reads, config.min_overlap, config.all_overlaps)
-    with timings.phase("write"):
-        write(graph.edges, graph.reads, config.output, config.format)
+    use_folder(spark, f"{config.output.rstrip('/')}.tmp")  # beside the output, in the store that all executors write to
+    ship(spark)
+    try:
+        with timings.phase("map"):
+            reads = read_fastq(spark, config.input, config.incomplete)
+            equal_length(reads)
+        with timings.phase("reduce"):
+            graph = build_graph(reads, config.min_overlap, config.all_overlaps)
+        with timings.phase("write"):
+            write(graph.edges, graph.reads, config.output, config.format, config.wide_ids)
+        counts = run_summary(reads, graph).first().asDict()
+        log.info(", ".join(f"{v} {k.removeprefix('n_').replace('_', ' ')}" for k, v in counts.items()))
+        for r in per_length(graph.edges).orderBy(F.desc("ovlp")).collect():  # a row for each length
+            log.info("length %d: %d edges, %d sources, %d sinks", r["ovlp"], r["n_edges"], r["n_src"], r["n_dst"])
+    finally:
+        cleanup(spark)
     Path("timings.csv").write_text(timings.csv())
     return timings
 

@@ -29,6 +29,7 @@ class Config:
     base_block: int = 32 << 20
     pair_block: int = 64 << 20
     format: str = "binary"
+    wide_ids: bool = False
     all_overlaps: bool = False
     incomplete: str = "strict"
 

@@ -28,6 +28,12 @@ def encode(base: Column) -> Column:
     return (F.shiftright(F.ascii(base), 1).bitwiseAND(3) + 1).cast("long")
 
 
+def digits(seq: Column) -> Column:
+    """The code of each ASCII character as a digit, by the rule of `encode`."""
+    ascii_characters = [chr(c) for c in range(1, 128)]
+    return F.translate(seq, "".join(ascii_characters), "".join(str((ord(c) >> 1 & 3) + 1) for c in ascii_characters))
+
+
 def code_string(seq: Column) -> Column:
     """The codes of all bases as digits."""
     return F.translate(F.upper(seq), "".join(CODES), "".join(map(str, CODES.values())))

@@ -6,11 +6,12 @@ h(s c) = (h(s) * radix + code(c)) mod prime for two (radix, prime) pairs; fp = h
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandweave.functions.bases import encode
+from strandweave.functions.bases import digits, encode
 
 # The two prime moduli and their radices.
 PRIME_1, RADIX_1 = 536870909, 5
@@ -32,10 +33,20 @@ class Hash:
         return pow(self.radix, n, self.prime)
 
     def of(self, seq: Column) -> Column:
-        """Hash of a string; 0 for an empty one."""
-        codes = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: encode(F.substring(seq, i, F.lit(1))))
-        fold = F.aggregate(codes, F.lit(0).cast("long"), lambda a, e: (a * self.radix + e) % self.prime)
-        return F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(fold)
+        """Hash of a string; 0 for an empty one.
+
+        With a radix of 5 or more the codes are digits to that base, so a chunk of them is one number that built-in base
+        conversion reads; the chunks of a string, filled up with zeros at its start, are folded.
+        """
+        if not 5 <= self.radix <= 36:
+            codes = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: encode(F.substring(seq, i, F.lit(1))))
+            fold = F.aggregate(codes, F.lit(0).cast("long"), lambda a, e: (a * self.radix + e) % self.prime)
+            return F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(fold)
+        chunk = int(62 / log2(self.radix))
+        n = F.ceil(F.greatest(F.length(seq), F.lit(1)) / F.lit(chunk)).cast("int")
+        padded = F.lpad(digits(seq), n * chunk, F.lit("0"))
+        value = lambda i: F.conv(F.substring(padded, i * chunk + 1, F.lit(chunk)), self.radix, 10).cast("long") % self.prime
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: (a * self.power(chunk) + value(i)) % self.prime)
 
     def prefixes(self, seq: Column) -> Column:
         """Array of the hashes of all non-empty prefixes (an inclusive scan)."""

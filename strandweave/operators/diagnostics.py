@@ -16,6 +16,22 @@ def side(reads: DataFrame, which: str, length: int | None = None) -> DataFrame:
     return reads.select((suffix("seq", length) if which == "suffix" else F.substring("seq", 1, length)).alias("sub"))
 
 
+def strings_per_fp(reads: DataFrame, pair: tuple[Hash, Hash] = DUAL, which: str = "read", length: int | None = None) -> DataFrame:
+    """(fp, n_strings): how many different strings each fingerprint stands for."""
+    strings = side(reads, which, length).groupBy("sub").agg(F.count("*").alias("n"))
+    return strings.select(fingerprint(F.col("sub"), pair).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_strings"))
+
+
+def collisions_by_round(reads: DataFrame, min_overlap: int, pair: tuple[Hash, Hash] = DUAL) -> DataFrame:
+    """(ovlp, side, n_strings, n_fps, n_shared_fps) of the suffixes and prefixes that each round compares, by one aggregation."""
+    size = F.length("seq")
+    every = reads.where(size > min_overlap).select("seq", F.explode(F.sequence(F.lit(min_overlap), size - 1)).alias("ovlp"))
+    ends = F.array(F.struct(F.lit("suffix").alias("side"), suffix("seq", F.col("ovlp")).alias("sub")), F.struct(F.lit("prefix").alias("side"), F.substring("seq", F.lit(1), F.col("ovlp")).alias("sub")))
+    strings = every.select("ovlp", F.explode(ends).alias("e")).select("ovlp", "e.side", "e.sub").distinct()
+    per_fp = strings.groupBy("ovlp", "side", fingerprint(F.col("sub"), pair).alias("fp")).agg(F.count("*").alias("n"))
+    return per_fp.groupBy("ovlp", "side").agg(F.sum("n").alias("n_strings"), F.count("*").alias("n_fps"), F.count(F.when(F.col("n") > 1, 1)).alias("n_shared_fps"))
+
+
 def collision_rate(reads: DataFrame, pair: tuple[Hash, Hash] = DUAL, which: str = "read", length: int | None = None) -> DataFrame:
     """One row: distinct strings, distinct fingerprints, and the share of strings lost to collisions in per cent."""
     strings = side(reads, which, length).groupBy("sub").agg(F.count("*").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions.fingerprint import fingerprint
 from strandweave.operators.reads import read_number
-from strandweave.plans.storage import materialize
+from strandweave.plans.storage import discard, materialize
 
 
 def _foreign(src: str = "src", dst: str = "dst") -> Column:
@@ -27,23 +28,44 @@ def round_edges(reads: DataFrame, length: int, drop_self: bool = True) -> DataFr
     return pairs.where(_foreign()) if drop_self else pairs
 
 
-def candidates(reads: DataFrame, min_overlap: int, drop_self: bool = True) -> DataFrame:
+def candidates(reads: DataFrame, min_overlap: int, drop_self: bool = True, hot: int = 1000) -> DataFrame:
     """(src, dst, ovlp) of all overlaps of min_overlap to length - 1 bases, for reads of one length.
 
     Every overlap shares its first min_overlap bases with the sink's prefix, so one equi-join on the hash of that seed finds
-    the pairs of all lengths: sources are exploded by length, sinks aren't, and only 64-bit seeds, ids and lengths are
-    shuffled. The pairs then fetch their strings and are verified exactly. Hot seeds are split by adaptive skew joins.
+    the pairs of all lengths: sources are exploded by length, sinks aren't. A source carries the hash of its whole overlap,
+    which the sink's bases are tested against within the join, so that chance meetings of seeds never leave it; what is left
+    is verified on the strings. Seeds that more than `hot` sinks have, as in repeats, are joined by length and the hash of
+    the whole overlap instead, which only true pairs agree in; equal overlaps that are hot are split by adaptive skew joins.
     """
     size, low = F.length("seq"), F.lit(min_overlap)
     source = reads.where(size > min_overlap).select(F.col("id").alias("src"), "seq", F.explode(F.sequence(low, size - 1)).alias("ovlp"))
-    source = source.select("src", "ovlp", F.xxhash64(F.substring("seq", F.length("seq") - F.col("ovlp") + 1, low)).alias("seed"))
-    sink = reads.where(size > min_overlap).select(F.col("id").alias("dst"), F.xxhash64(F.substring("seq", 1, min_overlap)).alias("seed"))
-    pairs = source.join(sink, "seed").drop("seed")
+    source = source.select("src", "ovlp", F.xxhash64(F.substring("seq", F.length("seq") - F.col("ovlp") + 1, low)).alias("seed"), F.xxhash64(suffix("seq", F.col("ovlp"))).alias("whole"))
+    sink = reads.where(size > min_overlap).select(F.col("id").alias("dst"), F.col("seq").alias("t"), F.xxhash64(F.substring("seq", 1, min_overlap)).alias("seed"))
+    head = F.substring("t", F.lit(1), F.col("ovlp"))
+    frequent = materialize(sink.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("seed"))
+    if frequent.isEmpty():
+        pairs = source.join(sink, "seed").where(F.xxhash64(head) == F.col("whole")).select("src", "dst", "ovlp", "t")
+    else:
+        rare = [x.join(frequent, "seed", "left_anti") for x in (source, sink)]
+        pairs = rare[0].join(rare[1], "seed").where(F.xxhash64(head) == F.col("whole")).select("src", "dst", "ovlp", "t")
+        by_length = sink.join(frequent, "seed", "left_semi").select("dst", "t", F.explode(F.sequence(low, F.length("t") - 1)).alias("ovlp")).withColumn("whole", F.xxhash64(head))
+        pairs = pairs.union(source.join(frequent, "seed", "left_semi").join(by_length, ["ovlp", "whole"]).select("src", "dst", "ovlp", "t"))
     if drop_self:
         pairs = pairs.where(_foreign())
     pairs = pairs.join(reads.select(F.col("id").alias("src"), F.col("seq").alias("s")), "src")
-    pairs = pairs.join(reads.select(F.col("id").alias("dst"), F.col("seq").alias("t")), "dst")
-    return pairs.where(suffix("s", F.col("ovlp")) == F.substring("t", F.lit(1), F.col("ovlp"))).select("src", "dst", "ovlp")
+    return pairs.where(suffix("s", F.col("ovlp")) == head).select("src", "dst", "ovlp")
+
+
+def candidates_by_fingerprint(reads: DataFrame, min_overlap: int) -> DataFrame:
+    """The same set by joining on (length, fingerprint): both sides exploded by length, as suffixes and as prefixes.
+
+    Fingerprints of different strings may agree; such pairs, about one in 2**58, are not told apart.
+    """
+    size = F.length("seq")
+    every = reads.where(size > min_overlap).select("id", "seq", F.explode(F.sequence(F.lit(min_overlap), size - 1)).alias("ovlp"))
+    source = every.select(F.col("id").alias("src"), "ovlp", fingerprint(suffix("seq", F.col("ovlp"))).alias("fp"))
+    sink = every.select(F.col("id").alias("dst"), "ovlp", fingerprint(F.substring("seq", F.lit(1), F.col("ovlp"))).alias("fp"))
+    return source.join(sink, ["ovlp", "fp"]).where(_foreign()).select("src", "dst", "ovlp")
 
 
 def greedy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -51,14 +73,16 @@ def greedy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
     Rounds by length depend on each other; the fixpoint here doesn't go length by length. An edge that is longest at both of
     its ends can't be blocked any more and is emitted (ties together); an edge of which an end was used at a longer length
-    is dead. What is left repeats, a few times in all. Each step is materialised in the shared folder.
+    is dead. What is left repeats, a few times in all. Each step is materialised in the shared folder, and what the step
+    before left is deleted. Raises if `rounds` steps don't get to the end.
     """
     live, done = materialize(edges), []
     for _ in range(rounds):
         by_src = live.groupBy("src").agg(F.max("ovlp").alias("src_max"))
         by_dst = live.groupBy("dst").agg(F.max("ovlp").alias("dst_max"))
-        marked = live.join(by_src, "src").join(by_dst, "dst")
-        marked = materialize(marked.withColumn("win", (F.col("ovlp") == F.col("src_max")) & (F.col("ovlp") == F.col("dst_max"))))
+        win = (F.col("ovlp") == F.col("src_max")) & (F.col("ovlp") == F.col("dst_max"))
+        marked = materialize(live.join(by_src, "src").join(by_dst, "dst").select("src", "dst", "ovlp", win.alias("win")))
+        discard(live)
         won = marked.where("win").select("src", "dst", "ovlp")
         done.append(won)
         used_src = won.groupBy("src").agg(F.max("ovlp").alias("src_used"))
@@ -67,26 +91,16 @@ def greedy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         rest = rest.where((F.coalesce("src_used", F.lit(0)) <= F.col("ovlp")) & (F.coalesce("dst_used", F.lit(0)) <= F.col("ovlp")))
         live = materialize(rest.select("src", "dst", "ovlp"))
         if live.isEmpty():
+            discard(live)
             break
+    else:
+        raise RuntimeError(f"the matching is not final after {rounds} steps")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
     return out
 
 
-def greedy_by_rounds(reads: DataFrame, min_overlap: int, length: int) -> DataFrame:
-    """The same, length by length, for tests: one join and two anti joins a round."""
-    s = t = reads
-    out = None
-    for n in range(length - 1, min_overlap - 1, -1):
-        left = s.select(F.col("id").alias("src"), suffix("seq", n).alias("key"))
-        right = t.select(F.col("id").alias("dst"), F.substring("seq", 1, n).alias("key"))
-        found = materialize(left.join(right, "key").where(_foreign()).select("src", "dst", F.lit(n).alias("ovlp")))
-        s, t = materialize(unused(s, found, "src")), materialize(unused(t, found, "dst"))
-        out = found if out is None else out.union(found)
-    return out
-
-
 def unused(reads: DataFrame, edges: DataFrame, end: str) -> DataFrame:
     """Reads whose id is not an edge's `end`: the anti join that takes used ends out."""
     return reads.join(edges.select(F.col(end).alias("id")), "id", "left_anti")

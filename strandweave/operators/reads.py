@@ -57,6 +57,13 @@ def transpose(reads: DataFrame, block: int = 4096) -> DataFrame:
     return cells.groupBy("pos", "block").agg(column.alias("bases"))
 
 
+def append_columns(columns: DataFrame, reads: DataFrame, block: int = 4096) -> DataFrame:
+    """Columns of bases with those of later reads appended; a block that wasn't full is filled up first."""
+    both = columns.withColumn("batch", F.lit(0)).unionByName(transpose(reads, block).withColumn("batch", F.lit(1)))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch", "bases"))), lambda s: s["bases"]), "")
+    return both.groupBy("pos", "block").agg(joined.alias("bases"))  # two parts at most, of `block` bases in all
+
+
 def group_counts(keyed: DataFrame, key: str = "fp") -> DataFrame:
     return keyed.groupBy(key).agg(F.count("*").alias("n"))
 

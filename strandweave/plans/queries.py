@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from strandweave.functions import bases
 from strandweave.functions.fingerprint import DUAL, PRIME_1, PRIME_2, RADIX_1, RADIX_2, Hash, combine, fingerprint, split
 from strandweave.operators import diagnostics, graph, overlap
 from strandweave.operators import reads as ops
-from strandweave.plans.assemble import unique_oriented
-from strandweave.plans.storage import dense_index, materialize
+from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
+from strandweave.plans.storage import dense_index, materialize, running_max, running_total, scratch
 from strandweave.sinks import writers
 from strandweave.sources import derived, fastq
 from strandweave.sources.derived import BASES, LENGTH, LETTERS, MIN_OVERLAP, STRIDE
+from strandweave.timing import Timings
 
 L, MIN, ROUND, POSITION = LENGTH, MIN_OVERLAP, MIN_OVERLAP, 5
 TINY = (Hash(1009, 5), Hash(13, 7))
@@ -83,7 +85,7 @@ _EDGES = _edges_sql()
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return fastq.number_reads(fastq.drop_low_quality(derived.raw_reads(spark, d)), ["doc_id", "off"])
+    return derived.reads(spark, d)
 
 
 def _oriented(spark: SparkSession, d: str) -> DataFrame:
@@ -107,10 +109,30 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_RAW} SELECT 4 * (row_number() OVER (ORDER BY doc_id, off) - 1) + 1 AS line_no, seq FROM raw")
 def reads_extract(spark: SparkSession, d: str) -> DataFrame:
-    every = dense_index(derived.raw_reads(spark, d), ["doc_id", "off"], "ordinal")
+    every = derived.reads(spark, d, keep_low_quality=True)
     return fastq.extract(fastq.check_lines(fastq.to_lines(every)))
 
 
+@_query(f"WITH {_READS} SELECT ordinal, seq FROM reads")
+def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All windows written as FASTQ files, read back, filtered and numbered anew."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    fastq.write_fastq(derived.reads(spark, d, keep_low_quality=True), folder)
+    return fastq.read_fastq(spark, folder)
+
+
+@_query(
+    f"WITH {_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS ordinal, seq FROM raw) "
+    "SELECT 4 * ordinal + k AS line_no, CASE k WHEN 0 THEN '@r' || ordinal WHEN 1 THEN seq WHEN 2 THEN '+' ELSE repeat('I', length(seq)) END AS value FROM every, range(0, 4) t(k)"
+)
+def fastq_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of those files, numbered within each file and then over all."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    fastq.write_fastq(derived.reads(spark, d, keep_low_quality=True), folder)
+    lines = materialize(fastq.numbered_lines(spark, folder).withColumnRenamed("line_no", "at"))
+    return dense_index(lines, ["file", "at"], "line_no").select("line_no", "value")
+
+
 @_query(f"WITH {_READS} SELECT ordinal, seq FROM reads")
 def reads_hq_filter(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d)
@@ -159,6 +181,13 @@ def transpose_positions(spark: SparkSession, d: str) -> DataFrame:
     return ops.transpose(_reads(spark, d))
 
 
+@_query(f"WITH {_READS}, cells AS (SELECT ordinal, unnest(range(0, {L})) AS pos, seq FROM reads) SELECT pos::INTEGER AS pos, ordinal // 4096 AS block, string_agg(substr(seq, pos::INTEGER + 1, 1), '' ORDER BY ordinal) AS bases FROM cells GROUP BY 1, 2")
+def append_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of a first part of the reads, which ends within a block, with those of the rest appended."""
+    reads = _reads(spark, d)
+    return ops.append_columns(ops.transpose(reads.where("ordinal < 6000")), reads.where("ordinal >= 6000"))
+
+
 @_query(f"WITH {_ORIENTED} SELECT id, CASE WHEN id & 1 = 0 THEN substr(seq, {POSITION + 1}, 1) ELSE translate(substr({_RC.format('seq')}, {L - POSITION}, 1), 'ACGT', 'TGCA') END AS base FROM oriented")
 def gather_bases(spark: SparkSession, d: str) -> DataFrame:
     return _oriented(spark, d).select("id", bases.base_at(F.col("seq"), POSITION).alias("base"))
@@ -169,6 +198,16 @@ def pack2bit(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).select("ordinal", bases.pack(F.col("seq")).alias("packed"))
 
 
+_PADDED = f"rpad(translate(substr(seq, 1, {L} - (ordinal % 4)::INTEGER), 'ACTG', '0123'), {L}, '0')"
+
+
+@_query(f"WITH {_READS}, p AS (SELECT ordinal, {_PADDED} AS digits, 2 * ceil(({L} - ordinal % 4) / 4)::INTEGER AS n FROM reads) SELECT ordinal, substr(array_to_string(list_transform(range(1, {L} + 1, 2), lambda i: substr('0123456789ABCDEF', 4 * substr(digits, i::INTEGER, 1)::INTEGER + substr(digits, i::INTEGER + 1, 1)::INTEGER + 1, 1)), ''), 1, n) AS packed FROM p")
+def pack2bit_ragged(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes of every length modulo 4, so that the last byte is filled up."""
+    part = F.substring("seq", F.lit(1), (F.lit(L) - F.col("ordinal") % 4).cast("int"))
+    return _reads(spark, d).select("ordinal", bases.pack(part).alias("packed"))
+
+
 @_query(f"WITH {_READS} SELECT ordinal, upper(seq) AS seq FROM reads")
 def unpack2bit(spark: SparkSession, d: str) -> DataFrame:
     packed = _reads(spark, d).select("ordinal", bases.pack(F.col("seq")).alias("packed"), F.length("seq").alias("n"))
@@ -239,17 +278,35 @@ def modular_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_ORIENTED}, k AS (SELECT id, {_fp('seq')} AS fp FROM oriented) SELECT row_number() OVER (ORDER BY fp, id) - 1 AS rank, fp, id FROM k")
 def fp_sort(spark: SparkSession, d: str) -> DataFrame:
-    return dense_index(_keyed(spark, d).select("fp", "id"), ["fp", "id"], "rank").select("rank", "fp", "id")
+    return dense_index(materialize(_keyed(spark, d).select("fp", "id")), ["fp", "id"], "rank").select("rank", "fp", "id")
 
 
 @_query(f"WITH {_ORIENTED}, k AS (SELECT id, {_fp('seq')} AS fp FROM oriented) SELECT row_number() OVER (ORDER BY fp, id) - 1 AS rank, fp, id FROM k")
 def merge_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """Two sorted runs, one for each strand, merged."""
+    """Two tables, one for each strand, merged: ranges of keys are shuffled to one task each, where they are put in order."""
     keyed = materialize(_keyed(spark, d).select("fp", "id"))
-    runs = [keyed.where(ops.strand(F.col("id")) == s).repartitionByRange("fp").sortWithinPartitions("fp", "id") for s in (0, 1)]
+    runs = [keyed.where(ops.strand(F.col("id")) == s) for s in (0, 1)]
     return dense_index(runs[0].unionByName(runs[1]), ["fp", "id"], "rank").select("rank", "fp", "id")
 
 
+@_query(f"WITH {_ORIENTED} SELECT {_fp('seq')} AS fp, count(*) AS n, 1::BIGINT AS n_partitions FROM oriented GROUP BY 1")
+def key_aligned_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Range partitions by key: how many of them each key's rows stand in, which has to be one."""
+    ranged = materialize(_keyed(spark, d).select("fp", "id")).repartitionByRange("fp").withColumn("part", F.spark_partition_id())
+    return ranged.groupBy("fp").agg(F.count("*").alias("n"), F.count_distinct("part").alias("n_partitions"))
+
+
+@_query(
+    f"WITH {_READS}, v AS (SELECT ordinal, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM reads) "
+    "SELECT ordinal, CAST(gc AS INTEGER) AS gc, CAST(sum(gc) OVER w AS BIGINT) AS gc_sum, CAST(max(gc) OVER w AS INTEGER) AS gc_max FROM v WINDOW w AS (ORDER BY ordinal ROWS UNBOUNDED PRECEDING)"
+)
+def running_sum_max(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusive running sum and maximum, over all reads, of a number that each read has."""
+    rows = _reads(spark, d).select("ordinal", F.length(F.regexp_replace("seq", "[^GC]", "")).alias("gc"))
+    rows = running_max(running_total(rows, "ordinal", "gc", "before"), "ordinal", "gc", "gc_max")
+    return rows.select("ordinal", "gc", (F.col("before") + F.col("gc")).alias("gc_sum"), "gc_max")
+
+
 @_query(f"WITH {_ORIENTED} SELECT {_fp('seq')} AS fp, count(*) AS n FROM oriented GROUP BY 1")
 def fp_group_count(spark: SparkSession, d: str) -> DataFrame:
     return ops.group_counts(_keyed(spark, d))
@@ -260,6 +317,12 @@ def dedup_reads(spark: SparkSession, d: str) -> DataFrame:
     return unique_oriented(_reads(spark, d))
 
 
+@_query(f"WITH {_UNIQ} SELECT id, seq, {_fp('seq')} AS fp FROM uniq")
+def dedup_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """One survivor of each fingerprint (the SQL tells strings apart, so a collision would show)."""
+    return ops.distinct_reads(_keyed(spark, d), by="fp")
+
+
 @_query(f"WITH {_ORIENTED} SELECT {_fp('seq')} AS fp, count(*) AS n, min(id) AS min_id FROM oriented GROUP BY 1 HAVING count(*) >= 2")
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return ops.duplicate_groups(_keyed(spark, d))
@@ -293,6 +356,17 @@ def candidates_all(spark: SparkSession, d: str) -> DataFrame:
     return overlap.candidates(_uniq(spark, d), MIN)
 
 
+@_query(f"WITH {_CAND} SELECT src, dst, ovlp FROM cand")
+def candidates_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.candidates_by_fingerprint(_uniq(spark, d), MIN)
+
+
+@_query(f"WITH {_EDGES} SELECT src, dst, ovlp FROM edges")
+def overlap_graph_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """The graph from joins on length and fingerprint alone."""
+    return overlap.greedy(overlap.candidates_by_fingerprint(_uniq(spark, d), MIN))
+
+
 @_query(f"WITH {_CAND} SELECT ovlp, count(*) AS n_self FROM pairs WHERE src >> 1 = dst >> 1 GROUP BY ovlp")
 def self_edges_removed(spark: SparkSession, d: str) -> DataFrame:
     every = overlap.candidates(_uniq(spark, d), MIN, drop_self=False)
@@ -343,6 +417,35 @@ def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(_edges(spark, d))
 
 
+@_query(f"WITH {_EDGES}, r AS (SELECT src, count(*) AS degree, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM edges GROUP BY src) SELECT src, CAST(coalesce(sum(degree) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, degree, targets FROM r")
+def csr_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = graph.csr(_edges(spark, d))
+    return rows.select("src", "first", "degree", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
+
+
+@_query(f"WITH {_EDGES}, n AS (SELECT (SELECT count(*) FROM reads) AS n_reads, (SELECT count(*) FROM uniq) AS n_unique, (SELECT count(*) FROM edges) AS n_edges) SELECT n_reads, n_unique, 2 * n_reads - n_unique AS n_duplicates, n_edges FROM n")
+def run_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the command line logs at its end."""
+    reads = _reads(spark, d)
+    return run_summary(reads, build_graph(reads, MIN))
+
+
+@_query("SELECT * FROM (VALUES (0, 'map'), (1, 'reduce'), (2, 'write')) t(nth, phase)")
+def run_phases(spark: SparkSession, d: str) -> DataFrame:
+    """The phases of a command line run over FASTQ files, from its timings."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    fastq.write_fastq(derived.reads(spark, d), f"{folder}/reads")
+    timings = Timings()
+    with timings.phase("map"):
+        reads = fastq.read_fastq(spark, f"{folder}/reads")
+        fastq.equal_length(reads)
+    with timings.phase("reduce"):
+        built = build_graph(reads, MIN)
+    with timings.phase("write"):
+        writers.write(built.edges, built.reads, f"{folder}/graph", "csv")
+    return spark.createDataFrame([(i, phase) for i, (phase, took) in enumerate(timings.rows) if took > 0], "nth int, phase string")
+
+
 _SIGN = "CASE WHEN {0} & 1 = 0 THEN '+' ELSE '-' END"
 
 
@@ -377,6 +480,21 @@ def _rate(pair: tuple[Hash, Hash]) -> str:
     )
 
 
+@_query(f"WITH {_ORIENTED}, s AS (SELECT DISTINCT seq FROM oriented) SELECT {_fp('seq', TINY)} AS fp, count(*) AS n_strings FROM s GROUP BY 1")
+def strings_per_fp(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.strings_per_fp(_oriented(spark, d), TINY)
+
+
+@_query(
+    f"WITH {_UNIQ}, s AS (SELECT DISTINCT l::INTEGER AS ovlp, k AS side, CASE k WHEN 'suffix' THEN substr(seq, {L} - l::INTEGER + 1) ELSE substr(seq, 1, l::INTEGER) END AS sub "
+    f"FROM uniq, range({MIN}, {L}) r(l), (VALUES ('suffix'), ('prefix')) t(k)), f AS (SELECT ovlp, side, {_fp('sub', TINY)} AS fp, count(*) AS n FROM s GROUP BY ALL) "
+    "SELECT ovlp, side, CAST(sum(n) AS BIGINT) AS n_strings, count(*) AS n_fps, count(*) FILTER (WHERE n > 1) AS n_shared_fps FROM f GROUP BY ovlp, side"
+)
+def collision_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Collisions among the suffixes and the prefixes of every round's length, with small primes so that there are some."""
+    return diagnostics.collisions_by_round(_uniq(spark, d), MIN, TINY)
+
+
 @_query(_rate(DUAL))
 def collision_rate(spark: SparkSession, d: str) -> DataFrame:
     return diagnostics.collision_rate(_oriented(spark, d))

@@ -6,16 +6,40 @@ Letters become bases by their place in the alphabet (z becomes N, which exercise
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from math import gcd
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.functions.bases import is_low_quality
+from strandweave.plans.storage import numbered
+
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN"
 LENGTH, STRIDE, MIN_OVERLAP = 48, 16, 32
 
 
-def raw_reads(spark: SparkSession, sf_dir: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
-    """(doc_id, off, seq) before the quality filter."""
+def windows(b: Column, length: int, stride: int) -> Column:
+    """All windows of a string as an array: it is cut once, into pieces that windows are put together from."""
+    size = gcd(length, stride)
+    pieces, per = F.regexp_extract_all(b, F.lit(f"[^\\n]{{{size}}}"), F.lit(0)), length // size
+    at = F.sequence(F.lit(1), F.greatest(F.size(pieces) - per + 1, F.lit(1)), F.lit(stride // size))
+    return F.when(F.length(b) < length, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.array_join(F.slice(pieces, i, F.lit(per)), "")))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order of their ids, spread over tasks by them, however few splits their file has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    bases = docs.select("doc_id", F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES).alias("b")).where(F.length("b") >= length)
-    at = bases.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.length("b") - length, F.lit(stride))).alias("off"))
-    return at.select("doc_id", "off", F.substring("b", F.col("off") + 1, F.lit(length)).alias("seq"))
+    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+
+def raw_reads(spark: SparkSession, sf_dir: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, off, seq) before the quality filter, in order within and over partitions."""
+    bases = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
+    rows = _documents(spark, sf_dir).select("doc_id", bases.alias("b")).where(F.length("b") >= length)
+    return rows.select("doc_id", F.posexplode(windows(F.col("b"), length, stride)).alias("nth", "seq")).select("doc_id", (F.col("nth") * stride).alias("off"), "seq")
+
+
+def reads(spark: SparkSession, sf_dir: str, keep_low_quality: bool = False) -> DataFrame:
+    """(ordinal, seq) of the windows that pass the filter: only documents are put in order, their windows come so already."""
+    rows = raw_reads(spark, sf_dir).select("seq")
+    return numbered(rows if keep_low_quality else rows.where(~is_low_quality(F.col("seq"))), "ordinal").select("ordinal", "seq")
