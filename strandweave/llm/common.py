@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.plans.storage import discard, materialize, scratch
+
 #: Words are maximal runs of bytes other than space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,31 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_own_checkpoint_dir", None) or "file://" + tempfile.mkdtemp(prefix="strandweave-")
-        spark._own_checkpoint_dir = base
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder for intermediate results that all executors see."""
+    return f"{scratch(spark)}/{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of frames that nothing refers to any more: Spark drops them once both sides have
-    collected their garbage, which takes more than one turn."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+    """Write a frame to the shared folder and read it back: cuts the lineage, lets its shuffle files go and survives lost executors."""
+    return materialize(df)
 
 
 def batches(blocks, columns: list[str], rows: int = 512):
@@ -81,7 +62,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, large.u == low.k).select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e"))
-        edges = keep(small.select(F.col("e.x").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        last, edges = edges, keep(small.select(F.col("e.x").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        discard(last)
         if _mark(edges) == before:
             break
     else:

@@ -5,16 +5,16 @@ empty bin borrows from a filled one that a fixed random order of bins, drawn for
 values are as good as independent ones, also for very short texts. Signatures are cut into bands, hashed to buckets.
 
 Documents with equal sets form one class, of which one representative goes on. A bucket of m representatives yields a star
-of m - 1 candidate edges around its smallest set. Edges are confirmed on the whole sets, by 64-bit hashes of their shingles.
+of m - 1 candidate edges around its centre, the member that shares most buckets with most others, which tends to be the
+least edited copy. Edges are confirmed on the whole sets, by 64-bit hashes of their shingles.
 
-What stars miss is a link between two members that are in no component together. It is found without comparing a bucket's
-members pair by pair. Let c be the centre, no larger than x and y, M(x) the shingles of c that x lacks, and D(x) those of x
-that c lacks. Then |x & y| = |c| - |M(x) | M(y)| + |D(x) & D(y)|. If x and y are linked and one of them isn't linked with c,
-|D(x) & D(y)| comes out above 0: they share a shingle that c lacks. So the members of such a bucket are dealt anew by the
-shingles that their centre lacks, which are rare where copies were edited each in its own way; a member with fewer shared
-ones than any partner would need is left out, and of the others' only as many are used, rarest first, as can't all be
-missed. Buckets of at most `SMALL` members are compared in full; the larger ones get stars and are dealt anew, up to
-`LEVELS` times, after which what is left is compared in full. Nothing is dropped, capped or sampled.
+What stars miss is a link between two members that are in no component together. Members x and y of a bucket with centre c
+have |x & y| = |c| - |M(x) | M(y)| + |D(x) & D(y)|, where M are the shingles of c that a member lacks and D those that it has
+and c lacks. Both terms are bounded without comparing the texts: the union by its larger part and by the bits set in the union
+of two small bitmaps, the intersection by the number of shingles in D that any other member has as well, and by bitmaps. So
+edited copies just below the threshold drop out by their own numbers: a member goes on only into classes of partners' sizes
+where it could reach the threshold, and pairs are made only of those whose bound does, and then confirmed. Nothing is capped
+or sampled, and no pair is left out that could be linked.
 
 With 40 bands of 6 rows a pair at the threshold shares no bucket with probability (1 - 0.8**6)**40 = 6e-6.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from strandweave.llm.common import batches, components, keep, mix64, table
 from strandweave.llm.shingles import shingle_set
 
-BANDS, ROWS, PERCENT, SMALL, LEVELS = 40, 6, 80, 4, 3
+BANDS, ROWS, PERCENT, WORDS, STEP = 40, 6, 80, 4, 1.05
 
 
 @lru_cache(maxsize=64)
@@ -108,7 +109,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = keep(signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     one = classes.select(F.col("rep").alias("doc_id"), "fp1").distinct()
     entries = signed.join(one, ["doc_id", "fp1"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    members = keep(entries.join(_sizes(entries).where("c > 1").select("bucket", "low"), "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = keep(entries.join(shared, "bucket"))
+    weights = members.groupBy("rep", "fp").agg(F.sum("c").alias("weight"))
+    rank = F.shiftleft(F.least("weight", F.lit((1 << 31) - 1)), 31).bitwiseOR(F.xxhash64("rep", "fp").bitwiseAND(0x7FFFFFFF))
+    members = keep(members.join(weights, ["rep", "fp"]).select("bucket", "rep", "fp", "n", rank.alias("rank")).distinct())  # repeated rows once
     nodes = members.select(F.col("rep").alias("doc_id"), "fp").distinct()
 
     def gather(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +125,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     texts = keep(texts.dropDuplicates(["doc_id", "fp"]))
 
     def compared(pairs: DataFrame, deal: bool) -> DataFrame:
-        """For pairs (a, fa, b, fb): sizes, whether they are linked, how many of b's shingles a lacks and, to `deal` them, those that b lacks."""
+        """For pairs (a, fa, b, fb): sizes and whether they are linked; with `deal`, also how many of b's shingles a lacks, a
+        bitmap of these, and a's shingles that b lacks."""
 
         def check(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, fa, b, fb, x, y in batches(blocks, ["a", "fa", "b", "fb", "x", "y"]):
@@ -130,26 +136,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                     at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                     common = v[at] == u
                     both = int(common.sum())
-                    linked = 100 * both >= percent * (len(u) + len(v) - both)
-                    out.append((a[i], fa[i], len(u), b[i], fb[i], len(v), linked, len(v) - both, u[~common].view(np.int64) if deal else None))
+                    row = (a[i], fa[i], len(u), b[i], fb[i], len(v), 100 * both >= percent * (len(u) + len(v) - both), len(v) - both)
+                    if deal:
+                        lacks = np.ones(len(v), dtype=bool)
+                        lacks[at[common]] = False
+                        out.append((*row, *_bitmap(v[lacks]), u[~common].view(np.int64)))
+                    else:
+                        out.append((*row, *[None] * WORDS, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
         long = pa.int64()
-        kinds = {"a": long, "fa": long, "na": long, "b": long, "fb": long, "nb": long, "linked": pa.bool_(), "missing": long, "added": pa.list_(long)}
+        kinds = {"a": long, "fa": long, "na": long, "b": long, "fb": long, "nb": long, "linked": pa.bool_(), "missing": long} | {f"m{w}": long for w in range(WORDS)} | {"added": pa.list_(long)}
         left = texts.select(F.col("doc_id").alias("a"), F.col("fp").alias("fa"), F.col("text").alias("x"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("fp").alias("fb"), F.col("text").alias("y"))
         both = pairs.join(left, ["a", "fa"]).join(right, ["b", "fb"]).select("a", "fa", "b", "fb", "x", "y")
-        return both.mapInArrow(check, "a long, fa long, na long, b long, fb long, nb long, linked boolean, missing long, added array<long>")
+        return both.mapInArrow(check, "a long, fa long, na long, b long, fb long, nb long, linked boolean, missing long, " + ", ".join(f"m{w} long" for w in range(WORDS)) + ", added array<long>")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return keep(compared(pairs, False).where("linked").select("a", "b"))
 
-    def stars(rows: DataFrame) -> DataFrame:
-        """Each member with its bucket's centre, the smallest set; buckets that agree in both give one pair."""
-        centres = rows.where(_rank() == F.col("low")).select("bucket", F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-        pairs = rows.select("bucket", F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")).join(centres, "bucket")
-        return pairs.where((F.col("a") != F.col("b")) | (F.col("fa") != F.col("fb"))).drop("bucket").distinct()
-
     def placed(rows: DataFrame) -> DataFrame:
         """The rows with the component so far of each member."""
         rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -165,30 +170,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         return keep(every.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
     close = needed(percent, F.col("na"), F.col("nb")) <= F.least("na", "nb")
-    found = keep(components(linked(stars(members).where(close).select("a", "fa", "b", "fb"))))
-
-    # what stars miss. Of a member: `base`, the size of its last centre (at first the empty set), `m`, how many of that
-    # centre's shingles it lacks, and `s`, how many others it has that any other member has as well
-    entries = members.select("bucket", "rep", "fp", "n", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("m"), F.col("n").alias("s"))
-    for level in range(LEVELS + 1):
-        entries = placed(entries)
-        rest = keep(entries.join(_sizes(entries).where("c1 < c2").select("bucket", "low", "c"), "bucket"))
-        if rest.isEmpty():
-            break
-        wide = F.lit(level < LEVELS) & (F.col("c") > SMALL)
-        known = (_rank() == F.col("low")) if level == 0 else F.lit(False)  # compared with its bucket's centre above
-        x, y = (rest.where(~wide & ~known).select("bucket", "base", F.col("component").alias(f"c{i}"), F.col("rep").alias(i), F.col("fp").alias(f"f{i}"), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"), F.col("s").alias(f"s{i}")) for i in "ab")
-        enough = needed(percent, F.col("na"), F.col("nb")) - x.base + F.greatest("ma", "mb") <= F.least("sa", "sb")
-        pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & enough)
-        late, star = linked(pairs.select("a", "fa", "b", "fb").distinct()), None
-        if not rest.where(wide).isEmpty():
-            star = keep(compared(stars(rest.where(wide)).select("a", "fa", "b", "fb"), True))
-            late = late.union(star.where("linked").select("a", "b"))
+    centres = members.groupBy("bucket").agg(F.max("rank").alias("rank"))
+    centres = members.join(centres, ["bucket", "rank"]).select("bucket", F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    stars = members.select("bucket", F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")).join(centres, "bucket")
+    found = keep(components(linked(stars.where(close & ((F.col("a") != F.col("b")) | (F.col("fa") != F.col("fb")))).select("a", "fa", "b", "fb").distinct())))
+
+    # what stars miss: members of buckets that hold several components, by what tells them from their bucket's centre
+    rest = placed(members.select("bucket", "rep", "fp", "n"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+    rest = keep(rest.join(mixed, "bucket").join(centres.select("bucket", "b", "fb"), "bucket"))
+    if not rest.isEmpty():
+        apart = keep(compared(rest.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), "b", "fb").distinct(), True))
+        late = linked(_bounded(rest, apart, percent))
         if not late.isEmpty():
             found = merge(late)
-        if star is None:
-            break
-        entries = _dealt(star, percent)
 
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(groups.withColumnsRenamed({"fp1": "g1", "fp2": "g2"}), (F.col("fp1") == F.col("g1")) & (F.col("fp2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
@@ -196,28 +191,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _rank() -> Column:
-    """Orders sets by size; ties by a hash, so that even one of many equals is seldom taken for another."""
-    return F.shiftleft("n", 31).bitwiseOR(F.xxhash64("rep", "fp").bitwiseAND(0x7FFFFFFF))
-
-
-def _sizes(entries: DataFrame) -> DataFrame:
-    """Of each bucket: members, rank of the smallest set and, where components are known, the least and the largest."""
-    more = [F.min("component").alias("c1"), F.max("component").alias("c2")] if "component" in entries.columns else []
-    return entries.groupBy("bucket").agg(F.count("*").alias("c"), F.min(_rank()).alias("low"), *more)
+def _bitmap(items: np.ndarray) -> list[int]:
+    """64 * WORDS bits, one of which each 64-bit hash sets."""
+    bits, word = np.uint64(1) << (items & np.uint64(63)), (items >> np.uint64(6)) % np.uint64(WORDS)
+    return [int(np.bitwise_or.reduce(bits[word == w], initial=np.uint64(0)).view(np.int64)) for w in range(WORDS)]
 
 
-def _dealt(star: DataFrame, percent: int) -> DataFrame:
-    """Entries of buckets by (centre, shingle that the centre lacks), for members that may have a partner among them."""
-    every = star.select("a", "fa", "na", "b", "fb", "nb", "missing", F.explode("added").alias("g"))
+def _bounded(rest: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, fa, b, fb) of a bucket's members in different components whose intersection may be large enough."""
+    words = range(WORDS)
+    every = apart.select("a", "fa", "b", "fb", F.explode("added").alias("g"))
     counts = every.groupBy("b", "fb", "g").agg(F.count("*").alias("c")).where("c > 1")
-    shared = every.join(counts, ["b", "fb", "g"]).groupBy("a", "fa", "b", "fb").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("missing").alias("m"), F.sort_array(F.collect_list(F.struct("c", "g"))).alias("items"))
-    least = F.greatest(F.col("nb"), F.ceil(F.col("na") * percent / F.lit(100) - F.lit(1e-9)))  # no partner is smaller
-    least = F.greatest(F.lit(1).cast("long"), needed(percent, F.col("na"), least) - F.col("nb") + F.col("m"))
-    shared = shared.withColumn("s", F.size("items").cast("long")).withColumn("least", least).where("s >= least")
-    item = F.explode(F.slice("items", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))).alias("item")
-    shared = shared.select(F.col("a").alias("rep"), F.col("fa").alias("fp"), F.col("na").alias("n"), F.col("nb").alias("base"), "m", "s", "b", "fb", item)
-    return shared.select(F.xxhash64("b", "fb", "item.g").alias("bucket"), "rep", "fp", "n", "base", "m", "s")
+    bits = lambda w: F.bit_or(F.when(F.pmod(F.shiftright("g", 6), F.lit(WORDS)) == w, F.expr("shiftleft(1L, CAST(g & 63 AS INT))")))
+    shared = every.join(counts, ["b", "fb", "g"]).groupBy("a", "fa", "b", "fb").agg(F.count("*").alias("s"), *(bits(w).alias(f"d{w}") for w in words))
+    facts = apart.drop("linked", "added").join(shared, ["a", "fa", "b", "fb"], "left").fillna(0, ["s", *(f"d{w}" for w in words)])
+    facts = keep(facts.withColumnsRenamed({"a": "rep", "fa": "fp", "na": "n", "nb": "base", "missing": "m"}))
+    rows = rest.select("bucket", "rep", "fp", "b", "fb", "component").join(facts, ["rep", "fp", "b", "fb"])
+
+    # the smaller of a pair stands in the class of its size, the larger in all classes of sizes that it can be linked with
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / log(STEP)).cast("int")
+    n, m, base = F.col("n"), F.col("m"), F.col("base")
+    smaller = rows.where(needed(percent, n, n) - base + m <= F.col("s")).withColumn("class", size_class(n))
+    larger = rows.withColumn("class", F.explode(F.sequence(size_class(F.greatest(F.ceil(n * percent / 100), F.lit(1))) - 1, size_class(n))))
+    least, most = F.floor(F.pow(F.lit(STEP), F.col("class"))) - 1, F.ceil(F.pow(F.lit(STEP), F.col("class") + 1)) + 1
+    larger = larger.where(needed(percent, n, F.greatest(least, F.lit(1))) - base + F.greatest(m, base - most) <= F.col("s"))
+    x, y = (t.select("bucket", "class", *(F.col(c).alias(f"{c}_{i}") for c in ["rep", "fp", "b", "fb", "n", "base", "m", "s", "component", *(f"m{w}" for w in words), *(f"d{w}" for w in words)])) for t, i in ((smaller, "a"), (larger, "b")))
+    joint = lambda kind: sum((F.bit_count(F.col(f"{kind}{w}_a").bitwiseOR(F.col(f"{kind}{w}_b"))) for w in words), F.lit(0))
+    union = F.greatest("m_a", "m_b", joint("m").cast("long"))
+    common = F.least(F.col("s_a"), F.col("s_b"), F.col("s_a") + F.col("s_b") - joint("d"))
+    enough = needed(percent, F.col("n_a"), F.col("n_b")) <= F.least(F.col("n_a"), F.col("base_a") - union + common)
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
+    pairs = x.join(y, (x.bucket == y.bucket) & (x["class"] == y["class"]) & (F.col("b_a") == F.col("b_b")) & (F.col("fb_a") == F.col("fb_b")) & once & (F.col("component_a") != F.col("component_b")) & enough)
+    return pairs.select(F.col("rep_a").alias("a"), F.col("fp_a").alias("fa"), F.col("rep_b").alias("b"), F.col("fp_b").alias("fb")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strandweave.llm import itq, minhash, mtree, suffix
 from strandweave.llm.colbwt import repeated, suffixes
 from strandweave.llm.common import _mark, components
@@ -115,11 +117,10 @@ def just_below(rng, n, edits, families):
     return rows
 
 
-def test_minhash_many_copies_just_below_the_threshold(docs_of, monkeypatch):
+def test_minhash_many_copies_just_below_the_threshold(docs_of):
     rng = random.Random(16)
-    for levels, small, rows in ((3, 4, just_below(rng, 500, 7, True)), (1, 2, just_below(rng, 200, 6, True))):
-        monkeypatch.setattr(minhash, "LEVELS", levels)
-        monkeypatch.setattr(minhash, "SMALL", small)
+    short = [(1000 + i, " ".join(f"w{j}" for j in range(rng.randint(60, 120)))) for i in range(20)]
+    for rows in (just_below(rng, 500, 7, True), just_below(rng, 200, 6, True) + short):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(rows)).collect())
         want = near_brute(rows, 2)
         assert 10 < sum(w[3] for w in want) < len(want)
@@ -191,6 +192,10 @@ def test_suffix_dedup_against_brute_force(docs_of, odd):
     assert suffix_found(found) == suffix_brute(rows)
     assert "row" in found.columns  # the input's own columns stay
     assert suffix.dedup(docs_of([])).collect() == []
+    names = ["removed", "kept", "found_row", "ranges", "meeting", "first", "tag"]
+    clash = docs_of(rows).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    assert suffix_found(suffix.dedup(clash, transform_bytes=1 << 18)) == suffix_brute(rows)
+    assert set(suffix.dedup(clash).columns) == set(clash.columns)
     text = suffix.dedup(docs_of([(1, "é" * 40), (2, "xé" + "é" * 39)], extra=False), as_text=True).collect()
     assert {r.doc_id: r.kept for r in text} == {1: "é" * 40, 2: "x"}
 
