@@ -7,6 +7,9 @@ that the pre-splitting is certain to draw, and the ids of each cut looked up or
 * `lead` tokenizers keep a single blank with the word after it: a border stands before a blank, and around a line
   feed, where no white space touches other white space.
 
+Both draw a border between letters and punctuation, too, so a word with ASCII marks after it is put together from the two.
+`drop` tokenizers lower-case texts, so that is done first where it comes to the same.
+
 Texts for which that isn't certain (special-token marks, other or doubled white space) go through the tokenizer whole.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -21,7 +25,7 @@ import numpy as np
 
 WORD_BPE, BYTE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 #: Cached pieces per worker; the cache is emptied beyond it.
-CACHE = 700_000
+CACHE = 800_000
 _UNSURE = {"drop": re.compile("[\x1c-\x1f]|<\\|"), "lead": re.compile(r"\s\s|[^\S \n]|<\|")}
 
 
@@ -74,6 +78,25 @@ class Encoder:
             else:  # a blank of its own, or a letter that libraries lower-case in different ways
                 self.cache.update(zip(keys, self._whole(some), strict=True))
 
+    def _add(self, new: list[str]) -> None:
+        """Put pieces into the cache: words and the marks after them on their own, as far as they aren't there."""
+        cache, split, single = self.cache, [], set()
+        first = "\n" if self.blanks == "lead" else ""  # marks have no blank before them
+        for p in new:
+            word = p.rstrip(string.punctuation)
+            if len(word) < len(p) and word.removeprefix("\n").isalpha():
+                split.append((p, word, first + p[len(word) :]))
+            else:
+                single.add(p)
+        single.update(x for parts in split for x in parts[1:] if x not in cache)
+        if single:
+            self._learn(list(single))
+        for p, word, marks in split:
+            cache[p] = cache[word] + cache[marks]
+
+    def _lower(self, text: str) -> str:
+        return text.lower() if text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text) else text
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none."""
         cut: list[list[list[str]] | None] = []
@@ -83,7 +106,7 @@ class Encoder:
             elif self.unsure(text):
                 cut.append(None)
             elif self.blanks == "drop":
-                cut.append([text.split()])
+                cut.append([self._lower(text).split()])
             else:
                 lines = [line.split(" ") for line in text.split("\n")]
                 for line in lines:
@@ -93,7 +116,7 @@ class Encoder:
             self.cache.clear()
         new = set().union(*(line for lines in cut if lines for line in lines))
         if new := [p for p in new if p not in self.cache]:
-            self._learn(new)
+            self._add(new)
         get, out = self.cache.__getitem__, []
         for text, lines in zip(texts, cut, strict=True):
             out.append(self._whole([text])[0] if lines is None else self.line_feed.join([b"".join(map(get, line)) for line in lines]))
