@@ -16,7 +16,7 @@ Of a batch of documents, only the first owner of a run is sent on; so a passage
 once for each batch, and one that all share with different surroundings is spread by these.
 
 A null or empty text has no bytes. Rows with a null id keep all bytes and take none from others. Rows of one id don't take
-from each other. An empty table gives an empty result. Only id and text are read, so clashing names don't matter.
+from each other. An empty table gives an empty result. Only id and text are read; `dedup` carries other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 from strandweave.llm.colbwt import repeated
-from strandweave.llm.common import batches, keep, mix64, release, table
+from strandweave.llm.common import batches, keep, mix64, table
 from strandweave.llm.shingles import _tables as powers
 
 LENGTH, GRAM, PARTS, DOCS_PER_BUCKET, BATCH, TRANSFORM_BYTES = 50, 20, 4, 1000, 1024, 1 << 18
@@ -71,9 +71,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", transform_bytes: int = TRANSFORM_BYTES) -> DataFrame:
-    """(row, ranges): the covered byte ranges of rows that have any, as pairs of int64; `row` is row_key's value."""
-    own = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
-    buckets = max(64, min(8192, docs.count() // DOCS_PER_BUCKET))
+    """(doc_id, row, ranges): the covered byte ranges of rows that have any, as pairs of int64; `row` is row_key's value."""
+    own = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc_id"), row_key(text).alias("row"), F.col(text).alias("text"))
+    buckets = max(64, docs.count() // DOCS_PER_BUCKET)
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows for buckets of representatives, and ranges settled within a batch (passed on with a bucket of the row)."""
@@ -97,23 +97,24 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
             for d in np.unique(nth[settled]).tolist():
                 at = np.arange(edges[d], edges[d + 1])[settled[edges[d] : edges[d + 1]]]
                 r = merged(first[at], last[at] + length)
-                out.append((int(row_of[d]) % buckets, row_of[d : d + 1].tobytes(), None, None, None, r.tobytes()))
+                out.append((int(row_of[d]) % buckets, id_of[d : d + 1].tobytes() + row_of[d : d + 1].tobytes(), None, None, None, r.tobytes()))
             send = np.flatnonzero(once & ~settled)
             bucket = (h1[send] >> np.uint64(20)) % np.uint64(buckets)
             send = send[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(send) else np.zeros(0, dtype=np.int64)
-            a, b = h1[send] >> np.uint64(16), h2[send] >> np.uint64(24)
+            a, b = h1[send] >> np.uint64(16), h2[send]
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(send)], strict=True):
                 docs_in, nth_in = np.unique(nth[send[lo:hi]], return_inverse=True)
-                out.append((int(bucket[lo]), id_of[docs_in].tobytes() + row_of[docs_in].tobytes(), _cut(a[lo:hi], 6), _cut(b[lo:hi], 5), nth_in.astype("<u2").tobytes(), None))
+                out.append((int(bucket[lo]), id_of[docs_in].tobytes() + row_of[docs_in].tobytes(), _cut(a[lo:hi], 6), b[lo:hi].tobytes(), nth_in.astype("<u2").tobytes(), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", "docs", "h1", "h2", "nth", "ranges"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         """Settle equal runs of a bucket; ask for the bytes of runs that share a representative only."""
         passed = pdf[pdf["ranges"].notna()]
-        out = [pd.DataFrame({"row": np.frombuffer(b"".join(passed["docs"]), dtype=np.int64), "tag": 0, "ranges": passed["ranges"]})]
+        who = np.frombuffer(b"".join(passed["docs"]), dtype=np.int64).reshape(-1, 2)
+        out = [pd.DataFrame({"doc_id": who[:, 0], "row": who[:, 1], "tag": 0, "ranges": passed["ranges"]})]
         sent = pdf[pdf["ranges"].isna()]
         if len(sent):
             ids, rows, h1, h2 = [], [], [], []
@@ -122,7 +123,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                 ids.append(who[0][at])
                 rows.append(who[1][at])
                 h1.append(_uncut(a, 6))
-                h2.append(_uncut(b, 5))
+                h2.append(np.frombuffer(b, dtype="<u8"))
             ids, rows, h1, h2 = map(np.concatenate, (ids, rows, h1, h2))
             by = np.lexsort((ids, h2, h1))
             ids, rows, h1, h2 = ids[by], rows[by], h1[by], h2[by]
@@ -135,14 +136,18 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
             mixed = (np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts))[nth_group] & ~later
             tags = _tags(h1, h2)
             for kind, some in ((0, later), (1, mixed)):
-                out.append(pd.DataFrame({"row": rows[some], "tag": (tags[some] | np.uint64(kind)).view(np.int64), "ranges": None}))
-        return pd.concat(out, ignore_index=True)[["row", "tag", "ranges"]]
+                out.append(pd.DataFrame({"doc_id": ids[some], "row": rows[some], "tag": (tags[some] | np.uint64(kind)).view(np.int64), "ranges": None}))
+        return pd.concat(out, ignore_index=True)[["doc_id", "row", "tag", "ranges"]]
 
     sent = own.mapInArrow(scan, "bucket int, docs binary, h1 binary, h2 binary, nth binary, ranges binary")
-    met = keep(sent.groupBy("bucket").applyInPandas(meet, "row long, tag long, ranges binary"))
-    del sent  # its shuffle files are as large as the texts
-    release(docs.sparkSession)
-    asked = met.where("ranges IS NULL").groupBy(F.col("row").alias("asked_row")).agg(F.collect_list("tag").alias("asked"))
+    met = keep(sent.groupBy("bucket").applyInPandas(meet, "doc_id long, row long, tag long, ranges binary"))
+    asked = met.where("ranges IS NULL").groupBy("doc_id", "row").agg(F.collect_list("tag").alias("asked"))
+    def windows(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges that windows at these places cover."""
+        for ids, rows, firsts in batches(blocks, ["doc_id", "row", "firsts"]):
+            found = [merged(np.array(f), np.array(f) + length).tobytes() for f in firsts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(rows, type=pa.int64()), pa.array(found, type=pa.binary())], names=["doc_id", "row", "ranges"])
+
     spare = length - gram
     cuts = [(int(c[0]), int(c[-1])) for c in np.array_split(np.arange(spare + 1), PARTS)]
 
@@ -158,7 +163,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                 for d, row, t, start, end in zip(ids.to_pylist(), rows.to_pylist(), texts.to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
                     raw, mine = t.encode("utf-8", "surrogatepass"), tags[start:end]
                     h1, h2, first, last, place = runs(raw, length, gram)
-                    own_tags = _tags(h1 >> np.uint64(16), h2 >> np.uint64(24))
+                    own_tags = _tags(h1 >> np.uint64(16), h2)
                     at = np.flatnonzero(np.isin(own_tags, mine[mine & np.uint64(1) == 0]))
                     if len(at):
                         out.append((row, d, row, -1, merged(first[at], last[at] + length).tobytes()))
@@ -172,45 +177,63 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["meeting", "doc_id", "row", "first", "body"])
 
     def transform(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts in the order of their meeting: equal ones are settled, the others of some meetings go into one collection."""
+        """Parts in the order of their meeting: equal ones are settled, the others of some meetings go into one collection.
+
+        A meeting of more than `transform_bytes` is given up window by window instead, as it comes; so no collection is larger.
+        """
         pool: list[tuple[int, bytes, list[tuple[int, int]]]] = []  # smallest id, bytes, its places (row, first)
         meeting: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
-        out: list[tuple[int, bytes]] = []
-        at, taken = None, 0
+        out: list[tuple] = []
+        at, taken, held, wide = None, 0, 0, False
 
         def solve() -> None:
             nonlocal pool, taken
-            found: dict[int, list[int]] = {}
+            found: dict[tuple[int, int], list[int]] = {}
             for i, o in repeated([p[1] for p in pool], np.array([p[0] for p in pool]), length) if pool else []:
-                for row, first in pool[i][2]:
-                    found.setdefault(row, []).append(first + o)
-            for row, starts in found.items():
+                for d, row, first in pool[i][2]:
+                    found.setdefault((d, row), []).append(first + o)
+            for (d, row), starts in found.items():
                 starts = np.array(starts)
-                out.append((row, merged(starts, starts + length).tobytes()))
+                out.append((d, row, merged(starts, starts + length).tobytes(), None, None, None))
             pool, taken = [], 0
 
         def close() -> None:
             nonlocal meeting, taken
             if len(meeting) > 1 and len({x[0] for x in meeting.values()}) > 1:
                 pool.extend((d, body, places) for body, (d, places) in meeting.items())
-                taken += sum(map(len, meeting))
+                taken += held
                 if taken > transform_bytes:
                     solve()
             meeting = {}
 
+        def give(body: bytes, d: int, row: int, first: int) -> None:
+            for o in range(len(body) - length + 1):
+                digest = xxh3_128_intdigest(body[o : o + length])
+                out.append((d, row, None, first + o, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
+
         for meetings, ids, rows, firsts, bodies in batches(blocks, ["meeting", "doc_id", "row", "first", "body"], rows=8192):
             for m, d, row, f, body in zip(meetings, ids, rows, firsts, bodies, strict=True):
                 if f < 0:
-                    out.append((row, body))
+                    out.append((d, row, body, None, None, None))
                     continue
                 if m != at:
                     close()
-                    at = m
+                    at, held, wide = m, 0, False
+                if wide:
+                    give(body, d, row, f)
+                    continue
+                if body not in meeting:
+                    held += len(body)
                 owner, places = meeting.setdefault(body, (d, []))
                 if owner < d:  # ids ascend within a meeting
-                    out.append((row, np.array([f, f + len(body)], dtype=np.int64).tobytes()))
+                    out.append((d, row, np.array([f, f + len(body)], dtype=np.int64).tobytes(), None, None, None))
                 else:
-                    places.append((row, f))
+                    places.append((d, row, f))
+                if held > transform_bytes:
+                    for body, (_, places) in meeting.items():
+                        for place in places:
+                            give(body, *place)
+                    meeting, wide = {}, True
             if out:
                 yield batch(out)
                 out = []
@@ -219,15 +242,19 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
         if out:
             yield batch(out)
 
-    def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["row", "ranges"])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "row", "ranges", "first", "w1", "w2"])
 
-    fetched = own.join(asked, own.row == asked.asked_row).mapInArrow(fetch, "meeting long, doc_id long, row long, first int, body binary")
-    late = fetched.repartition("meeting").sortWithinPartitions("meeting", "doc_id").mapInArrow(transform, "row long, ranges binary")
-    ranges = keep(met.where("ranges IS NOT NULL").select("row", "ranges").union(late))
-    del asked, fetched, late
-    release(docs.sparkSession)
-    return ranges.groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+    fetched = own.join(asked, ["doc_id", "row"]).mapInArrow(fetch, "meeting long, doc_id long, row long, first int, body binary")
+    late = keep(fetched.repartition("meeting").sortWithinPartitions("meeting", "doc_id").mapInArrow(transform, "doc_id long, row long, ranges binary, first long, w1 long, w2 long"))
+    ranges = met.where("ranges IS NOT NULL").select("doc_id", "row", "ranges").union(late.where("ranges IS NOT NULL").select("doc_id", "row", "ranges"))
+    single = late.where("w1 IS NOT NULL").select("doc_id", "row", "first", "w1", "w2")
+    if not single.isEmpty():  # windows of large meetings, each by itself
+        owners = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"))
+        hit = single.join(owners, ["w1", "w2"]).where("doc_id > owner").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+        ranges = ranges.union(hit.mapInArrow(windows, "doc_id long, row long, ranges binary"))
+    return ranges.groupBy("doc_id", "row").agg(F.collect_list("ranges").alias("ranges"))
 
 
 def _tags(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -246,40 +273,42 @@ def _uncut(raw: bytes, size: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def row_key(key: str = "doc_id", text: str = "text"):
-    """Identifies a row by id and text: rows alike in both are treated alike."""
-    return F.xxhash64(F.col(key), F.col(text))
+def row_key(text: str = "text"):
+    """Tells rows of one id apart by their texts; rows alike in both are treated alike."""
+    return F.xxhash64(F.col(text))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, **kw) -> DataFrame:
-    """The input's columns, and removed (disjoint byte ranges) and kept (the other bytes, joined).
+    """The input's columns, and removed (disjoint byte ranges) and kept (the other bytes, joined); input columns of these two
+    names are replaced, any others are carried.
 
     `as_text` makes kept a string, without the parts of letters that a range's ends cut.
     """
-    found = covered(docs, length, key=key, text=text, **kw).withColumnsRenamed({"row": "found_row", "ranges": "found_ranges"})
-    joined = docs.join(found, (row_key(key, text) == F.col("found_row")) & F.col(key).isNotNull(), "left").drop("found_row")
+    found = covered(docs, length, key=key, text=text, **kw).select(*(F.col(c).alias(f"_suffix_{c}") for c in ("doc_id", "row", "ranges")))
+    rest = [c for c in docs.columns if c not in ("removed", "kept")]
+    used = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias("_suffix_text"), F.col(key).cast("long").alias("_suffix_key"))
+    joined = used.join(found, (F.col("_suffix_key") == F.col("_suffix_doc_id")) & (row_key("_suffix_text") == F.col("_suffix_row")), "left")
+    joined = joined.select(*(F.col(f"`{c}`") for c in rest), "_suffix_text", "_suffix_ranges")
 
     def remove(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             for at in range(0, block.num_rows, 512):
                 part = block.slice(at, 512)
-                get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
                 spans, kept = [], []
-                for t, ranges in zip(get(text).to_pylist(), get("found_ranges").to_pylist(), strict=True):
+                for t, ranges in zip(part.column(len(rest)).to_pylist(), part.column(len(rest) + 1).to_pylist(), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
                     pairs = np.frombuffer(b"".join(ranges or []), dtype=np.int64).reshape(-1, 2)
                     pairs = merged(pairs[:, 0], pairs[:, 1]).tolist()
                     edges = [0, *(x for p in pairs for x in p), len(raw)]
                     spans.append([{"first": a, "past": b} for a, b in pairs])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                cols = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "found_ranges"]
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
                 if as_text:
                     kept = [b.decode("utf-8", "ignore") for b in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, type=kind), pa.array(kept, type=pa.string() if as_text else pa.binary())], names=[n for n in part.schema.names if n != "found_ranges"] + ["removed", "kept"])
+                kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(spans, type=kind), pa.array(kept, type=pa.string() if as_text else pa.binary())], names=[*rest, "removed", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(remove, f"{schema}, removed array<struct<first: bigint, past: bigint>>, kept {'string' if as_text else 'binary'}")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    return joined.mapInArrow(remove, f"{schema}removed array<struct<first: bigint, past: bigint>>, kept {'string' if as_text else 'binary'}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
