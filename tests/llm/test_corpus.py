@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -155,6 +157,78 @@ def test_alignment():
         assert len(pagediff.aligned(a, b)) == best[-1][-1]
 
 
+def test_alignment_in_halves_gives_a_common_subsequence_of_the_same_length():
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        whole, halves = pagediff.common_places(a, b), pagediff.common_places(a, b, cells=8)
+        assert len(whole) == len(halves) and halves == sorted(set(halves))
+        rest = iter(b)
+        assert all(a[i] in rest for i in halves)
+
+
+def test_long_pages_take_linear_memory_and_moderate_time():
+    rng = random.Random(13)
+    a, b = ([str(rng.randrange(50)) for _ in range(12_000)] for _ in range(2))
+    began = time.perf_counter()
+    assert 4_000 < len(pagediff.aligned(a, b)) < 12_000
+    assert len(pagediff.aligned(a, a)) == len(a)
+    for unclosed in ("<a ", "<a x='", '<a x="', "</p", "<!-", "<script>a</script ", "<b '>\"", "<" * 3):
+        page = "<p>start</p>" + unclosed * 100_000
+        assert pagediff.lines(page)[0][0] == "start"
+        assert pagediff.lines(page + "<p>end</p>")[0][0] == "start"
+    assert pagediff.lines("<p>x</p>" * 200_000)[0] == ["x"] * 200_000
+    assert time.perf_counter() - began < 60
+
+
+def test_tags_with_quotes():
+    assert pagediff.lines("<p a='x > y' b=\"it's > z\">t</p>")[0] == ["t"]
+    assert pagediff.lines("<p a='x>t</p><p>u</p>")[0] == ["t", "u"]  # the quote doesn't close, so it counts for nothing
+    assert pagediff.lines("<p a=\"x>t</p><p b='>'>u</p>")[0] == ["t", "u"]
+
+
+def pages_brute(rows):
+    """Every page against the nearer, by its path, of the pages beside it in the order of its host."""
+    where = lambda url: re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+    split = [(m.group(1).lower(), m.group(2)) if (m := where(r[1])) else ("", "") for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (*split[i], rows[i][0]))
+    out = {}
+    for k, i in enumerate(order):
+        best = None
+        for j in [*order[max(0, k - 1) : k], *order[k + 1 : k + 2]]:
+            if split[i][0] == split[j][0]:
+                a, b = split[i][1], split[j][1]
+                n = 0
+                while n < min(len(a), len(b)) and a[n] == b[n]:
+                    n += 1
+                near = (a[:n].count("/") + (a == b), n)
+                if best is None or near > best[0]:
+                    best = near, j
+        own = re.findall(r"<p>(.*?)</p>", rows[i][2])
+        other = re.findall(r"<p>(.*?)</p>", rows[best[1]][2]) if best else []
+        grid = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for x in range(len(own)):
+            for y in range(len(other)):
+                grid[x + 1][y + 1] = grid[x][y] + 1 if own[x] == other[y] else max(grid[x][y + 1], grid[x + 1][y])
+        out[rows[i][0]] = (len(own), grid[-1][-1], [t for t in own if t not in other])
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 50])
+def test_pairing_against_brute_force(spark, ranges):
+    rng = random.Random(14)
+    rows = []
+    for i in range(90):
+        host, template = rng.choice("abc"), rng.randrange(3)
+        path = "/".join(rng.choice(["x", "y", "xy", "z"]) for _ in range(rng.randint(0, 4)))
+        body = "".join(f"<p>{t}</p>" for t in [f"menu {template}", "shared", *(f"own {i} {j}" for j in range(rng.randint(0, 3))), f"foot {template}"])
+        rows.append((i, f"https://{host}.org/{path}?q={i}", body))
+    found = {r.page_id: r for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ranges=ranges).collect()}
+    want = pages_brute(rows)
+    assert {i: (r.n_lines, r.n_shared) for i, r in found.items()} == {i: w[:2] for i, w in want.items()}
+    assert all(found[i].text.split(" ")[:1] == " ".join(w[2]).split(" ")[:1] and len(found[i].text) == len(" ".join(w[2])) for i, w in want.items())
+
+
 def test_pages(spark):
     rows = [(1, "http://h.org/a/1", PAGE.format("x")), (2, "http://h.org/a/2", PLAIN.format("two")), (3, "http://h.org/a/3", PLAIN.format("three")), (4, "http://g.org/a/3", PLAIN.format("four")), (5, None, PLAIN.format("five")), (6, "http://h.org/b", None), (7, "no url", ""), (None, "http://h.org/a/2", PLAIN.format("nil")), (8, "http://h.org/a/2", PLAIN.format("two"))]
     rows += [(100 + i, "http://hot.org/p", PLAIN.format(i)) for i in range(60)]
