@@ -236,16 +236,44 @@ def test_itq_against_brute_force(spark):
     assert itq.near_vectors(vectors(spark, [])).collect() == []
 
 
-def test_itq_recall():
+def turned(rng, x, cosine):
+    """Unit vectors at these cosines to unit vectors x."""
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    c = np.broadcast_to(cosine, len(x))[:, None]
+    return c * x + np.sqrt(1 - c**2) * y / np.linalg.norm(y, axis=1)[:, None]
+
+
+def test_itq_tables_at_the_threshold():
     rng = np.random.default_rng(9)
     x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y = rng.standard_normal((3000, 64))
-    y -= (x * y).sum(axis=1)[:, None] * x
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1)[:, None]  # pairs right at the threshold
-    mean, turn = itq.learn(x)
-    codes = [itq.parts((v - mean) @ turn >= 0, itq.TABLES) for v in (x, y)]
-    assert (codes[0] == codes[1]).any(axis=1).mean() > 0.99
+    a, b = (itq.codes(v, *itq.learn(x)).view(np.int64) for v in (x, turned(rng, x, 0.9301)))
+    assert (np.bitwise_count((a ^ b).view(np.uint64)) <= itq.RADIUS).mean() > 0.999
+    for width in (4, 7, 10, 12):
+        masks = itq.masks(64, width)
+        assert (((a ^ b)[:, None] & masks[None]) == 0).any(axis=1).mean() > 0.99
+        assert set(np.bitwise_count(masks.view(np.uint64)).tolist()) == {width}
+
+
+def test_itq_recall_end_to_end(spark):
+    """Thousands of vectors with planted pairs from the threshold upwards, and a crowd that two thirds of a label belong to."""
+    rng = np.random.default_rng(19)
+    x = rng.standard_normal((2500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pairs = turned(rng, x[:1200], rng.uniform(0.93, 1.0, 1200))
+    crowd = turned(rng, np.repeat(x[:1], 500, axis=0), 0.965)
+    every = np.concatenate([x, pairs, crowd]).astype(np.float32)
+    label = np.concatenate([np.arange(2500) % 4, np.arange(1200) % 4, np.full(500, 7)])
+    label[1200:1450] = 7  # the crowd's label has others, too
+    found = {r.vec_id: r.n_links for r in itq.near_vectors(vectors(spark, [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(every, label, strict=True))]), cell=16).collect()}
+    y = every.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    hit = (y @ y.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(hit, False)
+    want, got = hit.sum(axis=1), np.array([found[i] for i in range(len(y))])
+    assert (got <= want).all() and want[:3700].sum() > 2000
+    assert got[:3700].sum() >= 0.99 * want[:3700].sum() and got[3700:].sum() >= 0.99 * want[3700:].sum()
 
 
 def test_mtree_against_brute_force(spark):
