@@ -84,7 +84,7 @@ class Encoder:
         first = "\n" if self.blanks == "lead" else ""  # marks have no blank before them
         for p in new:
             word = p.rstrip(string.punctuation)
-            if len(word) < len(p) and word.removeprefix("\n").isalpha():
+            if len(word) < len(p) and word.removeprefix("\n").lower().isalpha():  # some letters get a mark when lower-cased
                 split.append((p, word, first + p[len(word) :]))
             else:
                 single.add(p)

@@ -54,29 +54,32 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def pieces(docs: DataFrame, path: str | None = None, blanks: str = "lead", capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document; no text leaves its task."""
+    """(doc_id, piece, start, length, ids_crc32, salt) of every document; no text leaves its task. The salt tells repeated rows apart."""
 
     def cut(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path or tokenizer_path(BYTE_BPE), blanks), END_ID.to_bytes(4, "little")
+        salt = 0
         for ids, texts in batches(blocks, ["doc_id", "text"]):
             rows = []
             for d, body in zip(ids, enc.encode_many(texts), strict=True):
-                body += end
+                body, salt = body + end, (salt + 1) % 4096
                 n, at, k = len(body) // 4, 0, 0
                 size = n % capacity or capacity
                 while at < n:
-                    rows.append((d, k, at, size, zlib.crc32(body[4 * at : 4 * (at + size)])))
+                    rows.append((d, k, at, size, zlib.crc32(body[4 * at : 4 * (at + size)]), salt))
                     at, k, size = at + size, k + 1, capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, **kw) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    groups = max(1, round(docs.count() / group_rows))
+    text = F.col(kw.get("text", "text"))
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    groups = max(1, round((rows + (size or 0) / (4 * capacity)) / group_rows))  # about 4 bytes a token
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -85,7 +88,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
         return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     cut = pieces(docs, capacity=capacity, **kw)
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
     return cut.groupBy("part").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -65,6 +65,23 @@ def test_token_store(spark, docs_of, odd):
     assert store.get(-5) is None and store.get(99_999) is None
 
 
+def test_keyed_access_reads_a_bounded_number_of_bytes(spark, docs_of):
+    reads = []
+    for n in (50, 5000):
+        rows = [(7 * i, f"alpha beta {i % 10}") for i in range(n)] + [(None, "no id")] * 3 + [(7 * (n // 2), "again")]
+        folder = shared_dir(spark)
+        store = tokenstore.TokenStore(tokenstore.write(docs_of(rows).coalesce(1), folder, shard_tokens=10**9), folder)
+        own = Encoder(tokenizer_path(WORD_BPE), "drop")
+        most = 0
+        for i in range(0, n, max(1, n // 40)):
+            want = [ids(b) + [END_ID] for b in own.encode_many([x for d, x in rows if d == 7 * i])]
+            assert store.get(7 * i) in want
+            most = max(most, store.bytes_read)
+            assert store.get(7 * i + 1) is None and store.get(-i - 1) is None
+        reads.append(most)
+    assert reads[1] < reads[0] + 500 and reads[1] < 2500
+
+
 def test_token_store_of_nothing(spark, docs_of):
     folder = shared_dir(spark)
     assert tokenstore.read(tokenstore.write(docs_of([]), folder), folder).collect() == []
