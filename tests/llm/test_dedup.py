@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -298,5 +299,14 @@ def test_mtree_prunes_and_is_exact():
     for i in range(0, len(x), 97):
         want = sorted(((int(-(x[i] @ x[j])), j) for j in range(len(x)) if j != i))[:5]
         assert tree.search(x[i], i, 5) == [(-s, j) for s, j in want]
+        some = np.arange(i % 7, len(x), 97)
+        scores, ids = tree.search_many(x[some], some, 5, np.array([int(np.sort(x[j] @ np.delete(x, j, axis=0).T)[-5]) for j in some]))
+        for r, j in enumerate(some.tolist()):
+            assert list(zip((-scores[r]).tolist(), ids[r].tolist(), strict=True)) == sorted(((int(-(x[j] @ x[o])), o) for o in range(len(x)) if o != j))[:5]
+    tree.seen = 0
+    tree.search_many(x[::50], np.arange(0, len(x), 50), 5)
+    assert tree.seen < 0.5 * len(x[::50]) * len(x)  # the bounds rule out most of the vectors of other clusters
+    again = pickle.loads(pickle.dumps(tree))
+    assert again.search(x[3], 3, 5) == tree.search(x[3], 3, 5)
     huge = np.array([[1 << 30, 1], [1 << 30, 2], [3, 1 << 29]], dtype=np.int64)
     assert mtree.MTree(huge, np.arange(3)).search(huge[0], 0, 2)[0] == ((1 << 60) + 2, 1)
