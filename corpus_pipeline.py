@@ -51,11 +51,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = docs.where("doc_id IS NOT NULL").select(*COLUMNS, suffix.row_key().alias("row"))
+    own = docs.where("doc_id IS NOT NULL").select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
     found = minhash.near_duplicates(own.select("row", "text"), key="row", k=5).select(F.col("doc_id").alias("row"), "component_id").distinct()
     least = F.min(F.struct("doc_id", "row"))["row"].alias("row")
     stay = found.join(own.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(least).select("row")
-    first = Window.partitionBy("row").orderBy(F.xxhash64("lang", "source"))
+    first = Window.partitionBy("row", "doc_id").orderBy(F.xxhash64("lang", "source"))  # of rows alike in id and text, one
     kept = own.join(stay, "row", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return kept.select(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
 
@@ -68,7 +68,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    row = F.concat_ws(" ", F.xxhash64(*COLUMNS).cast("string"), F.xxhash64(F.lit("second"), *COLUMNS).cast("string"))  # 128 bits
+    docs = docs.select(COLUMNS).withColumn("row", row)
     copies = mixing.sample(docs, key="row").groupBy(F.col("doc_id").alias("row")).agg(F.max("copies").alias("copies"))
     taken = docs.join(copies.where("copies > 0"), "row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
