@@ -11,7 +11,7 @@ Fitting uses a bounded sample: `per_lang` labelled rows of each language in expe
 texts each. Prediction reads every whole text, and nothing but the text. A text that is null, empty or without any letter is
 `und` with score 0. Rows without lang are predicted like all others. With no labelled row at all, everything is `und`; with
 one language, every text with letters has it, with score 1. Repeated rows are predicted one by one. The input's other
-columns are kept by `predict`, and must not be called held_out, lang_pred, score or ambiguous.
+columns are kept by `predict`, which raises where one is called held_out, lang_pred, score or ambiguous.
 """
 
 from __future__ import annotations
@@ -125,7 +125,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's columns and held_out, lang_pred, score, ambiguous."""
+    """The input's columns and held_out, lang_pred, score, ambiguous; raises where the input has one of these."""
+    if clash := {"held_out", "lang_pred", "score", "ambiguous"} & set(docs.columns):
+        raise ValueError(f"the input must not have columns called {', '.join(sorted(clash))}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * bits-of-the-code numbers
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,36 @@ def test_different_texts_of_one_id_stay(spark, docs_of):
 def test_empty_table(spark, docs_of, tmp_path):
     docs_of([], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, docs_of):
+    """Rows without an id, very long texts, ties, and columns whose names the stages use inside."""
+    from pyspark.sql import functions as F
+
+    from strandweave.llm.common import keep
+
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(40_000))
+    rows = [(None, "a text without an id, twice"), (None, "a text without an id, twice"), (None, None), (1, long), (2, long + " and an end"), (3, "x" * 200_000), (4, None), (5, ""), (6, "short text"), (6, "short text"), (7, "short text"), (None, long[:5000])]
+    rows = [(d, t, "en", "ab"[i % 2]) for i, (d, t) in enumerate(rows)]
+    names = ["copies", "copy", "removed", "kept", "component_id", "nth", "lang_pred", "score", "ambiguous", "held_out", "first", "length"]
+    docs = docs_of(rows).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    step = dict(pipeline.STAGES)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    every = sorted((d is None, d or 0, t or "") for d, t, *_ in rows)
+
+    one = keep(step["language_id"](spark, docs, ""))
+    assert one.columns == pipeline.COLUMNS and texts(one) == [x for x in every if x[2]]
+    two = keep(step["near_dedup"](spark, docs, ""))
+    gone = [(False, 2, long + " and an end"), (False, 6, "short text"), (False, 7, "short text")]
+    assert texts(two) == sorted(x for i, x in enumerate(every) if x not in gone or (x[1] == 6 and every.index(x) == i))
+    three = keep(step["suffix_dedup"](spark, docs, ""))
+    left = {(r.doc_id, len(r.text)) for r in three.collect()}
+    assert (1, len(long)) in left and (3, 200_000) in left and (None, 5000) in left and max(n for d, n in left if d == 2) < 70
+    four = keep(step["mixing"](spark, docs, ""))
+    assert four.columns == pipeline.COLUMNS and {(r.doc_id, r.text) for r in four.collect()} <= {(d, t) for d, t, *_ in rows}
+    five = step["packing"](spark, docs, "").collect()
+    assert Counter(r.doc_id for r in five if r.piece == 0) == Counter(d for d, *_ in rows)
+    for name in step:
+        assert step[name](spark, docs.limit(0), "").collect() == []
