@@ -5,6 +5,7 @@ h(s c) = (h(s) * radix + code(c)) mod prime for two (radix, prime) pairs; fp = h
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log2
 
@@ -32,21 +33,22 @@ class Hash:
     def power(self, n: int) -> int:
         return pow(self.radix, n, self.prime)
 
+    @property
+    def chunk(self) -> int:
+        """How many codes, as digits to the base of the radix, a 64-bit number holds; 0 where codes are no such digits."""
+        return int(62 / log2(self.radix)) if 5 <= self.radix <= 36 else 0
+
+    def read_on(self, h: Column, digits_: Column, size: int) -> Column:
+        """From the hash of what is before a chunk of `size` codes to that with the chunk, read as one number."""
+        return (h * self.power(size) + F.conv(digits_, self.radix, 10).cast("long") % self.prime) % self.prime
+
     def of(self, seq: Column) -> Column:
-        """Hash of a string; 0 for an empty one.
-
-        With a radix of 5 or more the codes are digits to that base, so a chunk of them is one number that built-in base
-        conversion reads; the chunks of a string, filled up with zeros at its start, are folded.
-        """
-        if not 5 <= self.radix <= 36:
-            codes = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: encode(F.substring(seq, i, F.lit(1))))
-            fold = F.aggregate(codes, F.lit(0).cast("long"), lambda a, e: (a * self.radix + e) % self.prime)
-            return F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(fold)
-        chunk = int(62 / log2(self.radix))
-        n = F.ceil(F.greatest(F.length(seq), F.lit(1)) / F.lit(chunk)).cast("int")
-        padded = F.lpad(digits(seq), n * chunk, F.lit("0"))
-        value = lambda i: F.conv(F.substring(padded, i * chunk + 1, F.lit(chunk)), self.radix, 10).cast("long") % self.prime
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: (a * self.power(chunk) + value(i)) % self.prime)
+        """Hash of a string; 0 for an empty one."""
+        if self.chunk:
+            return F.aggregate(chunks(seq, self.chunk), F.lit(0).cast("long"), lambda h, c: self.read_on(h, c, self.chunk))
+        codes = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: encode(F.substring(seq, i, F.lit(1))))
+        fold = F.aggregate(codes, F.lit(0).cast("long"), lambda a, e: (a * self.radix + e) % self.prime)
+        return F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(fold)
 
     def prefixes(self, seq: Column) -> Column:
         """Array of the hashes of all non-empty prefixes (an inclusive scan)."""
@@ -79,5 +81,46 @@ def split(fp: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
+def chunks(seq: Column, size: int) -> Column:
+    """A string's codes as digits in chunks of one size, the first filled up with zeros, which count for nothing."""
+    return F.regexp_extract_all(F.lpad(digits(seq), (F.ceil(F.length(seq) / F.lit(size)) * size).cast("int"), F.lit("0")), F.lit(f"[0-9]{{{size}}}"), F.lit(0))
+
+
 def fingerprint(seq: Column, pair: tuple[Hash, Hash] = DUAL) -> Column:
-    return combine(pair[0].of(seq), pair[1].of(seq))
+    """Both hashes, folded over the same chunks in one go."""
+    size = min(h.chunk for h in pair)
+    if not size:
+        return combine(pair[0].of(seq), pair[1].of(seq))
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("a", "b")))
+    step = lambda h, c: F.struct(pair[0].read_on(h["a"], c, size).alias("a"), pair[1].read_on(h["b"], c, size).alias("b"))
+    return F.aggregate(chunks(seq, size), zero, step, lambda h: combine(h["a"], h["b"]))
+
+
+def _rolled(first: Column, least: int, longest: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fingerprints of lengths `least` to `longest`: each from the one before by `step` (struct of both hashes, length)."""
+    a, b = split(first)
+    start = F.array(F.struct(a.alias("a"), b.alias("b")))
+    lengths = F.when(longest > least, F.sequence(F.lit(least + 1), longest)).otherwise(F.array().cast("array<int>"))
+    grown = F.aggregate(lengths, start, lambda done, n: F.array_append(done, step(F.element_at(done, -1), n)))
+    return F.transform(grown, lambda h: combine(h["a"], h["b"]))
+
+
+def prefix_fingerprints(seq: Column, least: int, pair: tuple[Hash, Hash] = DUAL) -> Column:
+    """Those of the prefixes of `least` bases up to all but one, one base more each time."""
+
+    def step(h: Column, n: Column) -> Column:
+        code = encode(F.substring(seq, n, F.lit(1)))
+        return F.struct(*(((h[i] * k.radix + code) % k.prime).alias(i) for i, k in zip("ab", pair, strict=True)))
+
+    return _rolled(fingerprint(F.substring(seq, F.lit(1), F.lit(least)), pair), least, F.length(seq) - 1, step)
+
+
+def suffix_fingerprints(seq: Column, least: int, longest_read: int, pair: tuple[Hash, Hash] = DUAL) -> Column:
+    """Those of the suffixes; a base more at the front counts its code times a power of the radix, from a small table."""
+    powers = [F.array(*(F.lit(k.power(n)).cast("long") for n in range(least, max(longest_read, least + 1)))) for k in pair]
+
+    def step(h: Column, n: Column) -> Column:
+        code = encode(F.substring(seq, F.length(seq) - n + 1, F.lit(1)))
+        return F.struct(*(((h[i] + code * F.element_at(p, n - least)) % k.prime).alias(i) for i, k, p in zip("ab", pair, powers, strict=True)))
+
+    return _rolled(fingerprint(F.substring(seq, F.length(seq) - least + 1, F.lit(least)), pair), least, F.length(seq) - 1, step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.fingerprint import fingerprint
+from strandweave.functions.fingerprint import prefix_fingerprints, suffix_fingerprints
 from strandweave.operators.reads import read_number
 from strandweave.plans.storage import discard, materialize
 
@@ -57,14 +57,20 @@ def candidates(reads: DataFrame, min_overlap: int, drop_self: bool = True, hot:
 
 
 def candidates_by_fingerprint(reads: DataFrame, min_overlap: int) -> DataFrame:
-    """The same set by joining on (length, fingerprint): both sides exploded by length, as suffixes and as prefixes.
+    """The same set by joining on (length, fingerprint): both sides exploded by length, as suffixes and as prefixes, whose
+    fingerprints are rolled from length to length.
 
     Fingerprints of different strings may agree; such pairs, about one in 2**58, are not told apart.
     """
-    size = F.length("seq")
-    every = reads.where(size > min_overlap).select("id", "seq", F.explode(F.sequence(F.lit(min_overlap), size - 1)).alias("ovlp"))
-    source = every.select(F.col("id").alias("src"), "ovlp", fingerprint(suffix("seq", F.col("ovlp"))).alias("fp"))
-    sink = every.select(F.col("id").alias("dst"), "ovlp", fingerprint(F.substring("seq", F.lit(1), F.col("ovlp"))).alias("fp"))
+    long = reads.where(F.length("seq") > min_overlap)
+    longest = long.agg(F.max(F.length("seq"))).first()[0] or 0
+
+    def side(name: str, fps: Column) -> DataFrame:
+        rows = long.select(F.col("id").alias(name), F.posexplode(fps).alias("nth", "fp"))
+        return rows.select(name, (F.col("nth") + min_overlap).cast("int").alias("ovlp"), "fp")
+
+    source = side("src", suffix_fingerprints(F.col("seq"), min_overlap, longest))
+    sink = side("dst", prefix_fingerprints(F.col("seq"), min_overlap))
     return source.join(sink, ["ovlp", "fp"]).where(_foreign()).select("src", "dst", "ovlp")
 
 

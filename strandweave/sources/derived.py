@@ -18,12 +18,13 @@ LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN"
 LENGTH, STRIDE, MIN_OVERLAP = 48, 16, 32
 
 
-def windows(b: Column, length: int, stride: int) -> Column:
-    """All windows of a string as an array: it is cut once, into pieces that windows are put together from."""
-    size = gcd(length, stride)
-    pieces, per = F.regexp_extract_all(b, F.lit(f"[^\\n]{{{size}}}"), F.lit(0)), length // size
-    at = F.sequence(F.lit(1), F.greatest(F.size(pieces) - per + 1, F.lit(1)), F.lit(stride // size))
-    return F.when(F.length(b) < length, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.array_join(F.slice(pieces, i, F.lit(per)), "")))
+def windows(pieces: Column, per: int, step: int) -> Column:
+    """All runs of `per` consecutive pieces at multiples of `step`, each joined, as an array.
+
+    `pieces` has to be a column of a frame, not an expression, which would be worked out anew for every window.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.size(pieces) - per + 1, F.lit(1)), F.lit(step))
+    return F.when(F.size(pieces) < per, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.array_join(F.slice(pieces, i, F.lit(per)), "")))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_reads(spark: SparkSession, sf_dir: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
     """(doc_id, off, seq) before the quality filter, in order within and over partitions."""
     bases = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
-    rows = _documents(spark, sf_dir).select("doc_id", bases.alias("b")).where(F.length("b") >= length)
-    return rows.select("doc_id", F.posexplode(windows(F.col("b"), length, stride)).alias("nth", "seq")).select("doc_id", (F.col("nth") * stride).alias("off"), "seq")
+    size = gcd(length, stride)
+    cut = _documents(spark, sf_dir).select("doc_id", F.regexp_extract_all(bases, F.lit(f"[A-Z]{{{size}}}"), F.lit(0)).alias("pieces"))  # once for each text
+    rows = cut.select("doc_id", F.posexplode(windows(F.col("pieces"), length // size, stride // size)).alias("nth", "seq"))
+    return rows.select("doc_id", (F.col("nth") * stride).alias("off"), "seq")
 
 
 def reads(spark: SparkSession, sf_dir: str, keep_low_quality: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from model import BAD, complement, fp
 from pyspark.sql import functions as F
 
 from strandweave.functions import bases
-from strandweave.functions.fingerprint import DUAL, Hash, combine, fingerprint, split
+from strandweave.functions.fingerprint import DUAL, Hash, combine, fingerprint, prefix_fingerprints, split, suffix_fingerprints
 from strandweave.operators.diagnostics import collision_rate
 from strandweave.operators.reads import base_column, distinct_reads, duplicate_groups, duplicates_removed, length_summary, lengths_and_offsets, orient, transpose, with_fingerprint
 
@@ -56,6 +56,13 @@ def test_rolls_and_concatenation(spark):
     assert spark.range(1).select(DUAL[0].previous_prefix(F.lit(2).cast("long"), F.lit(3).cast("long"))).first()[0] == 429496727
 
 
+def test_rolled_fingerprints(spark):
+    s = [x for x in strings() if len(x) > 3]
+    longest = max(map(len, s))
+    assert column(spark, s, prefix_fingerprints(F.col("seq"), 3)) == [[fp(x[:n]) for n in range(3, len(x))] for x in s]
+    assert column(spark, s, suffix_fingerprints(F.col("seq"), 3, longest)) == [[fp(x[-n:]) for n in range(3, len(x))] for x in s]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="ACGT", max_size=40), st.text(alphabet="ACGT", max_size=40))
 def test_monoid_law_of_the_model(a, b):
