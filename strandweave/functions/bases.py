@@ -11,8 +11,6 @@ PACK_ALPHABET = "ACTG"
 COMPLEMENT_FROM, COMPLEMENT_TO = "ACGTacgt", "TGCATGCA"
 LOW_QUALITY = "[H-OX-_h-ox-\\x7f]"
 
-HEX = "0123456789ABCDEF"
-
 
 def is_low_quality(seq: Column) -> Column:
     """Whether a read holds a character that drops it."""
@@ -45,18 +43,19 @@ def base_at(seq: Column, position: int) -> Column:
 
 
 def pack(seq: Column) -> Column:
-    """Two bits a base, the first base in the high bits, as upper-case hex; the last byte is filled with zero bits."""
-    digits = F.translate(F.upper(seq), PACK_ALPHABET, "0123")
-    padded = F.rpad(digits, (F.ceil(F.length(seq) / 4) * 4).cast("int"), F.lit("0"))
-    at = F.sequence(F.lit(1), F.length(padded) - 1, F.lit(2))
-    pair = lambda i: F.substring(padded, i, F.lit(1)).cast("int") * 4 + F.substring(padded, i + 1, F.lit(1)).cast("int")
-    return F.when(F.length(seq) == 0, F.lit("")).otherwise(F.array_join(F.transform(at, lambda i: F.substring(F.lit(HEX), pair(i) + 1, F.lit(1))), ""))
+    """Two bits a base, the first base in the high bits, as upper-case hex; the last byte is filled with zero bits.
+
+    Chunks of 16 bases are numbers to the base 4, which built-in base conversion turns into 8 hex digits each.
+    """
+    digits_ = F.rpad(F.translate(F.upper(seq), PACK_ALPHABET, "0123"), (F.ceil(F.length(seq) / 16) * 16).cast("int"), F.lit("0"))
+    chunks = F.regexp_extract_all(digits_, F.lit("[0-9]{16}"), F.lit(0))
+    text = F.array_join(F.transform(chunks, lambda c: F.lpad(F.conv(c, 4, 16), 8, "0")), "")
+    return F.substring(text, F.lit(1), (F.ceil(F.length(seq) / 4) * 2).cast("int"))
 
 
 def unpack(packed: Column, length: Column) -> Column:
     """The `length` bases of a packed string."""
-    at = F.sequence(F.lit(1), F.length(packed))
-    digit = lambda i: F.conv(F.substring(packed, i, F.lit(1)), 16, 10).cast("int")
-    one = lambda v: F.substring(F.lit(PACK_ALPHABET), v + 1, F.lit(1))
-    text = F.array_join(F.transform(at, lambda i: F.concat(one(F.shiftright(digit(i), 2)), one(digit(i).bitwiseAND(3)))), "")
-    return F.when(length == 0, F.lit("")).otherwise(F.substring(text, F.lit(1), length))
+    padded = F.rpad(packed, (F.ceil(F.length(packed) / 8) * 8).cast("int"), F.lit("0"))
+    chunks = F.regexp_extract_all(padded, F.lit("[0-9A-F]{8}"), F.lit(0))
+    digits_ = F.array_join(F.transform(chunks, lambda c: F.lpad(F.conv(c, 16, 4), 16, "0")), "")
+    return F.substring(F.translate(digits_, "0123", PACK_ALPHABET), F.lit(1), length)
