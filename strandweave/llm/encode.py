@@ -24,8 +24,9 @@ from functools import lru_cache
 import numpy as np
 
 WORD_BPE, BYTE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
-#: Cached pieces per worker; the cache is emptied beyond it.
-CACHE = 800_000
+#: Cached pieces per worker of two generations: when the younger is full it becomes the older, whose pieces move over as they
+#: are used again.
+CACHE = 200_000
 _UNSURE = {"drop": re.compile("[\x1c-\x1f]|<\\|"), "lead": re.compile(r"\s\s|[^\S \n]|<\|")}
 
 
@@ -42,6 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.inner, self.blanks, self.cache = Tokenizer.from_file(path), blanks, {}
+        self.older: dict[str, bytes] = {}
         self.unsure = _UNSURE[blanks].search
         self.vocab_size = self.inner.get_vocab_size()
         self.line_feed = self._whole(["\n"])[0]
@@ -82,13 +84,21 @@ class Encoder:
         """Put pieces into the cache: words and the marks after them on their own, as far as they aren't there."""
         cache, split, single = self.cache, [], set()
         first = "\n" if self.blanks == "lead" else ""  # marks have no blank before them
+        known = self.older
         for p in new:
+            if p in known:
+                cache[p] = known[p]
+                continue
             word = p.rstrip(string.punctuation)
             if len(word) < len(p) and word.removeprefix("\n").lower().isalpha():  # some letters get a mark when lower-cased
                 split.append((p, word, first + p[len(word) :]))
             else:
                 single.add(p)
-        single.update(x for parts in split for x in parts[1:] if x not in cache)
+        for x in {x for parts in split for x in parts[1:] if x not in cache}:
+            if x in known:
+                cache[x] = known[x]
+            else:
+                single.add(x)
         if single:
             self._learn(list(single))
         for p, word, marks in split:
@@ -113,7 +123,7 @@ class Encoder:
                     line[0] = "\n" + line[0]
                 cut.append(lines)
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         new = set().union(*(line for lines in cut if lines for line in lines))
         if new := [p for p in new if p not in self.cache]:
             self._add(new)
