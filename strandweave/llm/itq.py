@@ -38,8 +38,8 @@ from strandweave.llm.common import batches, components, keep, table
 from strandweave.llm.vectors import packed_vectors
 
 THRESHOLD, BITS, SAMPLE_ROWS, BLOCK, ROUNDS, CELL, MISS, LONG_MEAN = 0.93, 64, 10_000, 2048, 30, 64, 0.003, 0.2
-#: Table bits at least and at most, and Hamming distance up to which codes are compared: at 0.93 the mean distance is 7.7.
-LEAST_BITS, MOST_BITS, RADIUS = 4, 16, 24
+#: Table bits at least and at most.
+LEAST_BITS, MOST_BITS = 4, 16
 #: Rows compared at once, pairs reranked at once, and pairs per row from which a unit's vectors are compared where they meet.
 CHUNK, PAIRS, DENSE = 256, 1 << 16, 8
 
@@ -67,6 +67,19 @@ def codes(unit: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return signs.astype(np.uint64) @ (np.uint64(1) << np.arange(signs.shape[1], dtype=np.uint64))
 
 
+def distances(bits: int, threshold: float) -> np.ndarray:
+    """Probability of each Hamming distance of two codes right at the threshold."""
+    apart = acos(threshold) / pi
+    return np.array([comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(bits + 1)])
+
+
+@lru_cache(maxsize=64)
+def radius(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Hamming distance up to which codes are compared: a tenth of `miss` lies beyond it."""
+    beyond = 1 - np.cumsum(distances(bits, threshold))
+    return int(np.flatnonzero(beyond <= miss / 10)[0])
+
+
 @lru_cache(maxsize=64)
 def masks(bits: int, per_table: int, threshold: float = THRESHOLD, miss: float = MISS, seed: int = 4) -> np.ndarray:
     """The bits of each table, as masks of a code of `bits` bits.
@@ -74,8 +87,7 @@ def masks(bits: int, per_table: int, threshold: float = THRESHOLD, miss: float =
     Codes of a pair at the threshold differ in d bits with binomial probability; as many tables as leave a pair in none of
     them with probability `miss`, over all d.
     """
-    apart, per_table = acos(threshold) / pi, min(per_table, bits)
-    chance = np.array([comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(bits + 1)])
+    chance, per_table = distances(bits, threshold), min(per_table, bits)
     missed = np.array([1 - comb(bits - d, per_table) / comb(bits, per_table) for d in range(bits + 1)])
     n = next(n for n in range(1, 1 << 20) if chance @ missed**n <= miss + chance[missed == 1].sum())
     rng, out = np.random.default_rng(seed), []
@@ -151,7 +163,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         i, j, nth, dim, wide = first[1], first[2], first[4], first[8], first[9]
         for lo in range(0, len(code), CHUNK):
             apart = code[lo : lo + CHUNK, None] ^ code[None]
-            a, b = np.nonzero(np.bitwise_count(apart.view(np.uint64)) <= RADIUS)
+            a, b = np.nonzero(np.bitwise_count(apart.view(np.uint64)) <= radius(min(bits, dim), threshold, miss))
             some = (a + lo < b) & ((mine[a + lo] != mine[b]) if i != j else True)
             a, b = a[some], b[some]
             for mask in masks(min(bits, dim), wide, threshold, miss)[:nth]:

@@ -250,7 +250,7 @@ def test_itq_tables_at_the_threshold():
     x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     a, b = (itq.codes(v, *itq.learn(x)).view(np.int64) for v in (x, turned(rng, x, 0.9301)))
-    assert (np.bitwise_count((a ^ b).view(np.uint64)) <= itq.RADIUS).mean() > 0.999
+    assert (np.bitwise_count((a ^ b).view(np.uint64)) <= itq.radius(64)).mean() > 0.999
     for width in (4, 7, 10, 12):
         masks = itq.masks(64, width)
         assert (((a ^ b)[:, None] & masks[None]) == 0).any(axis=1).mean() > 0.99
