@@ -1,4 +1,4 @@
-"""Give executors the package, if the driver runs it from a folder that they don't have."""
+"""Give executors the package, if the driver runs it from a folder that they don't have; set the session up for long texts."""
 
 from __future__ import annotations
 
@@ -8,11 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of a batch that goes between the JVM and Python, where the session has Spark's default of 10,000: with long texts such a
+#: batch would take hundreds of MB on either side.
+BATCH_SETTING, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session as a zip archive, once for each application."""
+    """Add the package to the application as a zip archive, once, and bound the session's batches."""
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _done:
         return
