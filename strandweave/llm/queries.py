@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import itq, langid, minhash, mixing, mtree, packing, pagediff, ring, suffix, tokenstore
+from strandweave.llm import bytebpe, itq, langid, minhash, mixing, mtree, packing, pagediff, ring, suffix, tokenstore, vectorcode
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_suffix_dedup": suffix.query,
     "op10_mixing": mixing.query,
+    "op11_byte_bpe": bytebpe.query,
+    "op12_vector_code": vectorcode.query,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op4_itq_dedup": itq.SQL,
     "op5_mtree_search": mtree.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_vector_code": vectorcode.SQL,
 }
