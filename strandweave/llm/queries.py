@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import bytebpe, itq, langid, minhash, mixing, mtree, packing, pagediff, ring, suffix, tokenstore, vectorcode
+from strandweave.llm import bytebpe, itq, langid, minhash, mixing, mtree, packing, pagediff, pivots, ring, suffix, tokenstore, vectorcode
 
 QUERIES = {
     "op1_token_store": tokenstore.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_byte_bpe": bytebpe.query,
     "op12_vector_code": vectorcode.query,
+    "op13_hard_negatives": pivots.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_mtree_search": mtree.SQL,
     "op10_mixing": mixing.SQL,
     "op12_vector_code": vectorcode.SQL,
+    "op13_hard_negatives": pivots.SQL,
 }
