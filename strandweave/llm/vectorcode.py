@@ -44,7 +44,7 @@ def pieces(block: np.ndarray, parts: int) -> np.ndarray:
     size = -(-len(block) // parts)
     full = np.zeros((parts * size, block.shape[1]), dtype=np.int64)
     full[: len(block)] = block
-    return full.reshape(parts, size, -1)
+    return full.reshape(parts, size, block.shape[1])
 
 
 def nearest(part: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
