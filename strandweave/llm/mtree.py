@@ -12,8 +12,9 @@ least distance that their ball allows, each for the queries that still need it;
 parent distance proves, by the triangle inequality, that they can't matter. Scores are exact integers.
 
 Vectors of other dimension than the query's are no candidates. Vectors that are null, empty or hold null or non-finite
-components, and rows with a null id, take no part. Rows with the query's id are its own. Ties go to the smaller id. An empty
-table gives an empty result. Only id and vector are read, so clashing names don't matter.
+components, and rows with a null id, take no part. An id stands for one vector, as query and as candidate: of rows that share it,
+the one whose vector comes first takes part. Ties go to the smaller id. An empty table gives an empty result. Only id and vector
+are read, so clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.llm.common import keep, table
-from strandweave.llm.vectors import packed_vectors
+from strandweave.llm.vectors import one_per_id, packed_vectors
 
 K, SCALE, EVERY, TREE_ROWS, QUERY_ROWS, LEAF, FANOUT, ROUTERS = 5, 256, 50, 8192, 2048, 128, 16, 1024
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -160,7 +161,7 @@ def top_k(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
             vecs = [integers(v, scale) for v in b.column(b.schema.get_field_index("vec")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("id", "dim")), pa.array([v.tobytes() for v in vecs], type=pa.binary()), pa.array([float((v.astype(np.float64) ** 2).sum()) for v in vecs], type=pa.float64())], names=["id", "dim", "vec", "length"])
 
-    valid = keep(packed_vectors(rows, key, vector).where("vec IS NOT NULL AND id IS NOT NULL").mapInArrow(measure, "id long, dim int, vec binary, length double"))
+    valid = keep(packed_vectors(one_per_id(rows, key, vector), "id", "vec").mapInArrow(measure, "id long, dim int, vec binary, length double"))
     tops, routers = {}, {}
     for r in valid.groupBy("dim").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect():  # a row for each dimension
         some = valid.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id", F.lit("router")), "id").limit(min(ROUTERS, -(-r["n"] // tree_rows))).select("vec").collect()
@@ -247,6 +248,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY embedding) = 1
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.y AS DOUBLE[]), CAST(c.y AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.y) = len(c.y)

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from strandweave.llm.common import keep, table
 from strandweave.llm.mtree import apart, lifted
-from strandweave.llm.vectorcode import finite
+from strandweave.llm.vectors import one_per_id
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE, EVERY = 5, 3, 50, 95, 256, 50
 PIVOTS, BLOCK_ROWS, QUERY_ROWS, CHUNK = 16, 8192, 2048, 64
@@ -76,9 +76,7 @@ def packed(rows: DataFrame, key: str, vector: str, label: str, scale: int) -> Da
             columns = [ids, labels, pa.array([len(x) for x in out], type=pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in out], type=pa.binary()), pa.array([float(x @ x) for x in out], type=pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "dim", "vec", "length"])
 
-    own = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
-    own = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & finite("vec") & (F.size("vec") > 0))
-    first = own.groupBy("id").agg(F.min(F.struct("label", "vec")).alias("r")).select("id", F.col("r.label").cast("string").alias("label"), "r.vec")
+    first = one_per_id(rows, key, vector, label).select("id", F.col("label").cast("string").alias("label"), "vec")
     return first.mapInArrow(run, "id long, label string, dim int, vec binary, length double")
 
 

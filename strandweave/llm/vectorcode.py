@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import keep, table
+from strandweave.llm.vectors import finite
 
 PARTS, ENTRIES, ROUNDS, SCALE, BLOCK_ROWS = 4, 256, 4, 1024, 2048
 #: Rows whose distances to all entries are in memory at once, and the depth of the reduction tree.
@@ -33,12 +34,6 @@ CHUNK, DEPTH = 512, 3
 LARGEST = 1 << 62
 
 
-def finite(vector: str):
-    """Whether a vector is there and all its components are numbers."""
-    infinite = float("inf")
-    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
-
-
 def pieces(block: np.ndarray, parts: int) -> np.ndarray:
     """A block (component, row) as (part, component within it, row), filled up with zeros."""
     size = -(-len(block) // parts)

@@ -72,6 +72,27 @@ def test_shingles():
     assert len(np.intersect1d(shingle_set("one", 2), shingle_set("one one", 2))) == 0
 
 
+def test_hashes_of_long_structured_words():
+    """Words whose letters follow the Thue-Morse sequence and its complement, which collide in any polynomial modulo 2**64."""
+    for n in (512, 1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        for pattern in ("{}", "x {}", "{} x", "a b {} c"):
+            for k in (1, 2, 5):
+                a, b = (shingle_set(pattern.format(w), k) for w in (one, two))
+                assert len(np.intersect1d(a, b)) == len(shingles_of(pattern.format(one), k) & shingles_of(pattern.format(two), k))
+
+
+def test_minhash_on_long_structured_words(docs_of):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, one), (2, two), (3, "x " + one), (4, "x " + two), (5, one + "a"), (6, one.upper()), (7, long), (8, long + " end"), (9, long.replace("w", "v"))]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(rows)).collect())
+    assert found == near_brute(rows, 2)
+    assert [f[2] for f in found] == [1, 2, 3, 4, 5, 1, 7, 7, 9]
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
@@ -292,6 +313,23 @@ def test_mtree_against_brute_force(spark):
     assert mtree.top_k(vectors(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("size", [8192, 10])
+def test_mtree_repeated_ids(spark, size):
+    """An id stands for one vector, as query and as candidate."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], 0) for i in range(1, 60)]
+    rows += [rows[49], rows[49], rows[2], (50, [9.0, 9.0, 9.0, 9.0], 1), (7, [-9.0, 1.0, 0.0, 0.0], 1), (7, None, 1)]
+    frame = vectors(spark, rows)
+    one = {}
+    for i, v, *_ in frame.select("vec_id", "embedding").collect():
+        if good(v):
+            one[i] = min(one.get(i, v), v)
+    own = {i: [int(np.floor(256 * x)) for x in v] for i, v in one.items()}
+    want = sorted((-sum(a * b for a, b in zip(own[50], v, strict=True)), i) for i, v in own.items() if i != 50)[:5]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(frame, tree_rows=size, query_rows=3).collect())
+    assert found == [(50, k + 1, i, -s) for k, (s, i) in enumerate(want)] and len({f[2] for f in found}) == 5
+
+
 def test_mtree_prunes_and_is_exact():
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((40, 1, 16)) * 300 + rng.standard_normal((40, 60, 16)) * 9).reshape(-1, 16).astype(np.int64)
