@@ -32,10 +32,16 @@ class Config:
     wide_ids: bool = False
     all_overlaps: bool = False
     incomplete: str = "strict"
+    reader: str = "ranges"
 
     def __post_init__(self):
         if self.min_overlap < 1:
             raise ValueError("the least overlap must be at least 1")
 
+    @property
+    def range_bytes(self) -> int:
+        """Bytes of a file that one task reads."""
+        return max(1 << 20, self.split_bytes // 8)
+
     def spark_settings(self) -> dict[str, str]:
-        return {"spark.sql.files.maxPartitionBytes": str(max(1 << 20, self.split_bytes // 8)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(max(1 << 20, self.task_bytes // 16)), "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+        return {"spark.sql.files.maxPartitionBytes": str(self.range_bytes), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(max(1 << 20, self.task_bytes // 16)), "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}

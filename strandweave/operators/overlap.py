@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandweave.functions.fingerprint import prefix_fingerprints, suffix_fingerprints
@@ -74,20 +74,29 @@ def candidates_by_fingerprint(reads: DataFrame, min_overlap: int) -> DataFrame:
     return source.join(sink, ["ovlp", "fp"]).where(_foreign()).select("src", "dst", "ovlp")
 
 
-def greedy(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy(edges: DataFrame, rounds: int = 1000, by_length: dict[int, int] | None = None, lengths: range = range(0)) -> DataFrame:
     """The longest-first matching: at descending lengths all pairs of unused ends, ends being used up after each length.
 
     Rounds by length depend on each other; the fixpoint here doesn't go length by length. An edge that is longest at both of
     its ends can't be blocked any more and is emitted (ties together); an edge of which an end was used at a longer length
     is dead. What is left repeats, a few times in all. Each step is materialised in the shared folder, and what the step
-    before left is deleted. Raises if `rounds` steps don't get to the end.
+    before left is deleted. Raises if `rounds` steps don't get to the end. Where `by_length` is given, the numbers of emitted
+    edges of the `lengths` that have any are put there, observed by the tasks that write them.
     """
     live, done = materialize(edges), []
     for _ in range(rounds):
         by_src = live.groupBy("src").agg(F.max("ovlp").alias("src_max"))
         by_dst = live.groupBy("dst").agg(F.max("ovlp").alias("dst_max"))
         win = (F.col("ovlp") == F.col("src_max")) & (F.col("ovlp") == F.col("dst_max"))
-        marked = materialize(live.join(by_src, "src").join(by_dst, "dst").select("src", "dst", "ovlp", win.alias("win")))
+        joined = live.join(by_src, "src").join(by_dst, "dst").select("src", "dst", "ovlp", win.alias("win"))
+        if by_length is not None and lengths:
+            seen = Observation()
+            marked = materialize(joined.observe(seen, *(F.count_if(F.col("win") & (F.col("ovlp") == n)).alias(f"n{n}") for n in lengths)))
+            for n in lengths:
+                if seen.get[f"n{n}"]:
+                    by_length[n] = by_length.get(n, 0) + seen.get[f"n{n}"]
+        else:
+            marked = materialize(joined)
         discard(live)
         won = marked.where("win").select("src", "dst", "ovlp")
         done.append(won)

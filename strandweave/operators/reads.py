@@ -73,6 +73,11 @@ def duplicate_groups(keyed: DataFrame, key: str = "fp") -> DataFrame:
     return keyed.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("min_id")).where("n >= 2")
 
 
+def duplicate_members(keyed: DataFrame, key: str = "fp") -> DataFrame:
+    """(key, id, min_id, removed): all rows of keys of two rows or more; a hot key's rows are split by adaptive skew joins."""
+    return keyed.select(key, "id").join(duplicate_groups(keyed, key).select(key, "min_id"), key).withColumn("removed", F.col("id") != F.col("min_id"))
+
+
 def duplicates_removed(keyed: DataFrame, key: str = "fp") -> DataFrame:
     per_key = keyed.groupBy(key).agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("n_removed", F.col("n_rows") - F.col("n_distinct"))

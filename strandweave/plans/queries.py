@@ -12,14 +12,19 @@ from strandweave.functions import bases
 from strandweave.functions.fingerprint import DUAL, PRIME_1, PRIME_2, RADIX_1, RADIX_2, Hash, combine, fingerprint, split
 from strandweave.operators import diagnostics, graph, overlap
 from strandweave.operators import reads as ops
+from strandweave.operators.runs import overlap_runs as runs_of
+from strandweave.operators.runs import run_table
 from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
+from strandweave.plans.matrix import BaseMatrix
+from strandweave.plans.scans import placed, segmented_scan
 from strandweave.plans.storage import dense_index, materialize, running_max, running_total, scratch
-from strandweave.sinks import writers
-from strandweave.sources import derived, fastq
+from strandweave.sinks import csr, writers
+from strandweave.sources import derived, fastq, fastq_source
 from strandweave.sources.derived import BASES, LENGTH, LETTERS, MIN_OVERLAP, STRIDE
+from strandweave.streaming.distinct import read_distinct, write_distinct
 from strandweave.timing import Timings
 
-L, MIN, ROUND, POSITION = LENGTH, MIN_OVERLAP, MIN_OVERLAP, 5
+L, MIN, ROUND, POSITION, CHUNK = LENGTH, MIN_OVERLAP, MIN_OVERLAP, 5, 4
 TINY = (Hash(1009, 5), Hash(13, 7))
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,6 +158,25 @@ def equal_length_check(spark: SparkSession, d: str) -> DataFrame:
     return ops.length_summary(_reads(spark, d))
 
 
+_EVERY = f"{_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS ordinal, seq FROM raw)"
+
+
+@_query(f"WITH {_EVERY} SELECT 'r' || ordinal AS name, seq, repeat('I', length(seq)) AS quality FROM every")
+def fastq_source_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of FASTQ files from the data source, which cuts files into byte ranges."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    fastq.write_fastq(derived.reads(spark, d, keep_low_quality=True), folder)
+    return fastq_source.scan(spark, folder).select("name", "seq", "quality")
+
+
+@_query(f"WITH {_READS} SELECT ordinal, seq FROM reads")
+def fastq_source_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The reads of those files, numbered by the counts of the ranges before theirs."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    fastq.write_fastq(derived.reads(spark, d, keep_low_quality=True), folder)
+    return fastq_source.scan_reads(spark, folder)
+
+
 # projections and per-read transforms
 
 
@@ -188,6 +212,28 @@ def append_positions(spark: SparkSession, d: str) -> DataFrame:
     return ops.append_columns(ops.transpose(reads.where("ordinal < 6000")), reads.where("ordinal >= 6000"))
 
 
+def _matrix(spark: SparkSession, d: str) -> BaseMatrix:
+    """The base matrix of all reads, stored in two appends of which the first ends within a block."""
+    reads = materialize(_reads(spark, d))
+    cut = 6000 if reads.where("ordinal >= 6000").limit(1).count() else 0
+    matrix = BaseMatrix(spark, f"{scratch(spark)}/{uuid4().hex}")
+    matrix.append(reads.where(F.col("ordinal") < cut))
+    matrix.append(reads.where(F.col("ordinal") >= cut))
+    return matrix
+
+
+@_query(f"WITH {_READS}, cells AS (SELECT ordinal, unnest(range(0, {L})) AS pos, seq FROM reads) SELECT pos::INTEGER AS pos, ordinal // 4096 AS block, string_agg(substr(seq, pos::INTEGER + 1, 1), '' ORDER BY ordinal) AS bases FROM cells GROUP BY 1, 2")
+def matrix_columns(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the stored base matrix."""
+    return _matrix(spark, d).columns()
+
+
+@_query(f"WITH {_READS} SELECT ordinal, substr(seq, {POSITION + 1}, 1) AS base FROM reads")
+def matrix_column_at(spark: SparkSession, d: str) -> DataFrame:
+    """One column, read from its own files alone."""
+    return _matrix(spark, d).column(POSITION)
+
+
 @_query(f"WITH {_ORIENTED} SELECT id, CASE WHEN id & 1 = 0 THEN substr(seq, {POSITION + 1}, 1) ELSE translate(substr({_RC.format('seq')}, {L - POSITION}, 1), 'ACGT', 'TGCA') END AS base FROM oriented")
 def gather_bases(spark: SparkSession, d: str) -> DataFrame:
     return _oriented(spark, d).select("id", bases.base_at(F.col("seq"), POSITION).alias("base"))
@@ -258,19 +304,22 @@ def prefix_roll(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(spark, d).select("id", combine(*(k.previous_prefix(x, code) for k, x in zip(DUAL, h, strict=True))).alias("fp"))
 
 
+_INVERSE = (
+    f"p AS (SELECT * FROM (VALUES (1, {RADIX_1}::BIGINT, {PRIME_1}::BIGINT), (2, {RADIX_2}::BIGINT, {PRIME_2}::BIGINT)) t(k, radix, prime)), "
+    "inv AS (SELECT k, radix, prime, list_reduce(list_prepend(1::BIGINT, list_transform(range(0, 30), lambda b: b)), lambda a, b: (a * a % prime) * CASE WHEN (prime - 2) >> (29 - b) & 1 = 1 THEN radix ELSE 1 END % prime) AS inverse FROM p)"
+)
+
+
 @_query(
-    "WITH p AS (SELECT * FROM (VALUES "
-    f"({RADIX_1}::BIGINT, {PRIME_1}::BIGINT), ({RADIX_2}::BIGINT, {PRIME_2}::BIGINT)) t(radix, prime)), "
-    "i AS (SELECT radix, prime, list_reduce(list_prepend(1::BIGINT, list_transform(range(0, 30), lambda b: b)), lambda a, b: (a * a % prime) * CASE WHEN (prime - 2) >> (29 - b) & 1 = 1 THEN radix ELSE 1 END % prime) AS inverse FROM p) "
-    "SELECT radix, prime, inverse, radix * inverse % prime AS product FROM i"
+    f"WITH {_READS}, h AS (SELECT ordinal, 1 AS k, {_hash('seq', PRIME_1, RADIX_1)} AS hash FROM reads UNION ALL SELECT ordinal, 2, {_hash('seq', PRIME_2, RADIX_2)} FROM reads), {_INVERSE} "
+    "SELECT ordinal, h.k::INTEGER AS k, hash * inverse % prime AS quotient, hash * inverse % prime * radix % prime AS product FROM h JOIN inv ON h.k = inv.k"
 )
 def modular_inverse(spark: SparkSession, d: str) -> DataFrame:
-    """Inverses by square and multiply over the bits of prime - 2."""
-    pairs = spark.createDataFrame([(h.radix, h.prime) for h in DUAL], "radix long, prime long")
-    bits = F.lpad(F.bin(F.col("prime") - 2), 30, "0")
-    bit = lambda b: F.when(F.substring(bits, b + 1, F.lit(1)) == "1", F.col("radix")).otherwise(F.lit(1).cast("long"))
-    power = F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(1).cast("long"), lambda a, b: a * a % F.col("prime") * bit(b) % F.col("prime"))
-    return pairs.withColumn("inverse", power).withColumn("product", F.col("radix") * F.col("inverse") % F.col("prime"))
+    """Both hashes of each read divided by their radix, through its inverse, and multiplied by it again."""
+    h = split(F.col("fp"))
+    parts = [F.struct(F.lit(i + 1).alias("k"), (x * k.inverse % k.prime).alias("quotient"), (x * k.inverse % k.prime * k.radix % k.prime).alias("product")) for i, (k, x) in enumerate(zip(DUAL, h, strict=True))]
+    rows = _reads(spark, d).select("ordinal", fingerprint(F.col("seq")).alias("fp"))
+    return rows.select("ordinal", F.explode(F.array(*parts)).alias("r")).select("ordinal", "r.k", "r.quotient", "r.product")
 
 
 # sort, merge, distinct
@@ -307,6 +356,17 @@ def running_sum_max(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ordinal", "gc", (F.col("before") + F.col("gc")).alias("gc_sum"), "gc_max")
 
 
+@_query(
+    f"WITH {_RAW}, v AS (SELECT doc_id, off, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM raw) "
+    "SELECT doc_id, off::INTEGER AS off, CAST(gc AS INTEGER) AS gc, CAST(sum(gc) OVER w AS BIGINT) AS gc_sum, CAST(max(gc) OVER w AS INTEGER) AS gc_max FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY off ROWS UNBOUNDED PRECEDING)"
+)
+def segment_running_sum_max(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusive running sum and maximum within each document's windows."""
+    rows = derived.raw_reads(spark, d).select("doc_id", "off", F.length(F.regexp_replace("seq", "[^GC]", "")).alias("gc"))
+    rows = placed(materialize(rows), ["doc_id"], ["off"])
+    return segmented_scan(rows, ["doc_id"], {"gc_sum": ("sum", "gc"), "gc_max": ("max", "gc")}).drop("place")
+
+
 @_query(f"WITH {_ORIENTED} SELECT {_fp('seq')} AS fp, count(*) AS n FROM oriented GROUP BY 1")
 def fp_group_count(spark: SparkSession, d: str) -> DataFrame:
     return ops.group_counts(_keyed(spark, d))
@@ -328,6 +388,22 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return ops.duplicate_groups(_keyed(spark, d))
 
 
+@_query(f"WITH {_ORIENTED}, g AS (SELECT seq, min(id) AS min_id FROM oriented GROUP BY seq HAVING count(*) >= 2) SELECT {_fp('seq')} AS fp, id, min_id, id <> min_id AS removed FROM oriented JOIN g USING (seq)")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every oriented read whose fingerprint others have too, beside the id that stays."""
+    return ops.duplicate_members(_keyed(spark, d))
+
+
+@_query(f"WITH {_UNIQ} SELECT id, seq, {_fp('seq')} AS fp FROM uniq")
+def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same survivors from a stream that takes a few files of reads at a time, in no order of ids."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    _keyed(spark, d).select("id", "seq", "fp").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("id long, seq string, fp long").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    write_distinct(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return read_distinct(spark, f"{folder}/out")
+
+
 @_query(f"WITH {_ORIENTED} SELECT count(*) AS n_rows, count(DISTINCT seq) AS n_distinct, count(*) - count(DISTINCT seq) AS n_removed FROM oriented")
 def duplicates_removed(spark: SparkSession, d: str) -> DataFrame:
     return ops.duplicates_removed(_keyed(spark, d))
@@ -335,10 +411,13 @@ def duplicates_removed(spark: SparkSession, d: str) -> DataFrame:
 
 # joins
 
+_ENDS = f"{_UNIQ}, tail AS MATERIALIZED (SELECT id, substr(seq, {L - ROUND + 1}) AS key FROM uniq), head AS MATERIALIZED (SELECT id, substr(seq, 1, {ROUND}) AS key FROM uniq)"
+_ROUND_EDGES = f"{_ENDS}, e AS MATERIALIZED (SELECT s.id AS src, t.id AS dst FROM tail s JOIN head t USING (key) WHERE s.id >> 1 <> t.id >> 1)"
+
 
 @_query(
-    f"WITH {_UNIQ}, k AS (SELECT substr(seq, 1, {ROUND}) AS key, row_number() OVER (ORDER BY substr(seq, 1, {ROUND}), id) - 1 AS rank FROM uniq), "
-    f"r AS (SELECT key, min(rank) AS lb, max(rank) + 1 AS ub FROM k GROUP BY key) SELECT id AS src, lb, ub FROM uniq JOIN r ON substr(seq, {L - ROUND + 1}) = key"
+    f"WITH {_ENDS}, k AS (SELECT key, row_number() OVER (ORDER BY key, id) - 1 AS rank FROM head), "
+    "r AS MATERIALIZED (SELECT key, min(rank) AS lb, max(rank) + 1 AS ub FROM k GROUP BY key) SELECT id AS src, lb, ub FROM tail JOIN r USING (key)"
 )
 def match_ranges(spark: SparkSession, d: str) -> DataFrame:
     uniq = _uniq(spark, d)
@@ -346,7 +425,7 @@ def match_ranges(spark: SparkSession, d: str) -> DataFrame:
     return overlap.match_ranges(uniq, ROUND, ranked)
 
 
-@_query(f"WITH {_UNIQ} SELECT s.id AS src, t.id AS dst, {ROUND}::INTEGER AS ovlp FROM uniq s JOIN uniq t ON substr(s.seq, {L - ROUND + 1}) = substr(t.seq, 1, {ROUND}) WHERE s.id >> 1 <> t.id >> 1")
+@_query(f"WITH {_ROUND_EDGES} SELECT src, dst, {ROUND}::INTEGER AS ovlp FROM e")
 def overlap_round(spark: SparkSession, d: str) -> DataFrame:
     return overlap.round_edges(_uniq(spark, d), ROUND)
 
@@ -356,6 +435,34 @@ def candidates_all(spark: SparkSession, d: str) -> DataFrame:
     return overlap.candidates(_uniq(spark, d), MIN)
 
 
+@_query(
+    f"WITH {_UNIQ}, ends AS (SELECT id, l::INTEGER AS ovlp, substr(seq, {L} - l::INTEGER + 1) AS tail, substr(seq, 1, l::INTEGER) AS head FROM uniq, range({MIN}, {L}) r(l)), "
+    "s AS MATERIALIZED (SELECT ovlp, tail AS sub, count(*) AS n_src, min(id) AS first_src FROM ends GROUP BY ALL), t AS MATERIALIZED (SELECT ovlp, head AS sub, count(*) AS n_dst, min(id) AS first_dst FROM ends GROUP BY ALL) "
+    "SELECT ovlp, n_src, n_dst, first_src, first_dst FROM s JOIN t USING (ovlp, sub)"
+)
+def overlap_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each overlap string's run of sources and run of sinks, not multiplied out."""
+    return run_table(runs_of(_uniq(spark, d), MIN))
+
+
+@_query(f"WITH {_CAND} SELECT src, dst, ovlp FROM cand")
+def candidates_from_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs_of(_uniq(spark, d), MIN).expand()
+
+
+@_query(f"WITH {_CAND} SELECT src, count(*) AS degree FROM cand GROUP BY src")
+def out_degree_from_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs_of(_uniq(spark, d), MIN).out_degree()
+
+
+@_query(f"WITH {_CAND} SELECT src, dst, ovlp FROM cand")
+def csr_binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All overlaps written as binary compressed sparse rows, by runs, and read back."""
+    folder = f"{scratch(spark)}/{uuid4().hex}"
+    csr.write_csr(runs_of(_uniq(spark, d), MIN), folder)
+    return csr.read_csr(spark, folder)
+
+
 @_query(f"WITH {_CAND} SELECT src, dst, ovlp FROM cand")
 def candidates_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return overlap.candidates_by_fingerprint(_uniq(spark, d), MIN)
@@ -373,17 +480,17 @@ def self_edges_removed(spark: SparkSession, d: str) -> DataFrame:
     return every.where(ops.read_number(F.col("src")) == ops.read_number(F.col("dst"))).groupBy("ovlp").agg(F.count("*").alias("n_self"))
 
 
-@_query(f"WITH {_UNIQ} SELECT id FROM uniq WHERE substr(seq, {L - ROUND + 1}) IN (SELECT substr(seq, 1, {ROUND}) FROM uniq)")
+@_query(f"WITH {_ENDS} SELECT id FROM tail SEMI JOIN (SELECT DISTINCT key FROM head) h USING (key)")
 def suffix_semi(spark: SparkSession, d: str) -> DataFrame:
     return overlap.matched(_uniq(spark, d), ROUND, "src")
 
 
-@_query(f"WITH {_UNIQ} SELECT id FROM uniq WHERE substr(seq, 1, {ROUND}) IN (SELECT substr(seq, {L - ROUND + 1}) FROM uniq)")
+@_query(f"WITH {_ENDS} SELECT id FROM head SEMI JOIN (SELECT DISTINCT key FROM tail) t USING (key)")
 def prefix_semi(spark: SparkSession, d: str) -> DataFrame:
     return overlap.matched(_uniq(spark, d), ROUND, "dst")
 
 
-@_query(f"WITH {_UNIQ}, e AS (SELECT s.id AS src, t.id AS dst FROM uniq s JOIN uniq t ON substr(s.seq, {L - ROUND + 1}) = substr(t.seq, 1, {ROUND}) WHERE s.id >> 1 <> t.id >> 1) SELECT id FROM uniq WHERE id NOT IN (SELECT src FROM e)")
+@_query(f"WITH {_ROUND_EDGES} SELECT id FROM uniq ANTI JOIN (SELECT DISTINCT src AS id FROM e) u USING (id)")
 def remove_used_anti(spark: SparkSession, d: str) -> DataFrame:
     uniq = _uniq(spark, d)
     return overlap.unused(uniq, overlap.round_edges(uniq, ROUND), "src").select("id")
@@ -407,6 +514,12 @@ def edge_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_stats(materialize(overlap.candidates(_uniq(spark, d), MIN)))
 
 
+@_query(f"WITH {_CAND}, o AS (SELECT src, count(*) AS n FROM cand GROUP BY src) SELECT count(*) AS n_sources, coalesce(sum(n), 0)::BIGINT AS n_edges, coalesce(max(n), 0) AS max_out_degree, (SELECT count(DISTINCT dst) FROM cand) AS n_sinks FROM o")
+def edge_stats_from_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The same from sizes of runs, without any pair."""
+    return runs_of(_uniq(spark, d), MIN).edge_stats()
+
+
 @_query(f"WITH {_EDGES} SELECT src, count(*) AS degree FROM edges GROUP BY src")
 def out_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.out_degree(_edges(spark, d))
@@ -417,6 +530,16 @@ def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(_edges(spark, d))
 
 
+@_query(
+    f"WITH {_CAND}, n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS place, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS nth FROM cand) "
+    f"SELECT src, nth // {CHUNK} AS chunk, min(place) AS first, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM n GROUP BY ALL"
+)
+def adjacency_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of each source over all overlaps, a few in a row, with the row's place in the list of all."""
+    rows = graph.neighbour_chunks(overlap.candidates(_uniq(spark, d), MIN), CHUNK)
+    return rows.withColumn("targets", F.array_join(F.transform("targets", lambda t: t.cast("string")), ","))
+
+
 @_query(f"WITH {_EDGES}, r AS (SELECT src, count(*) AS degree, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM edges GROUP BY src) SELECT src, CAST(coalesce(sum(degree) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, degree, targets FROM r")
 def csr_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = graph.csr(_edges(spark, d))
@@ -425,25 +548,32 @@ def csr_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_EDGES}, n AS (SELECT (SELECT count(*) FROM reads) AS n_reads, (SELECT count(*) FROM uniq) AS n_unique, (SELECT count(*) FROM edges) AS n_edges) SELECT n_reads, n_unique, 2 * n_reads - n_unique AS n_duplicates, n_edges FROM n")
 def run_counts(spark: SparkSession, d: str) -> DataFrame:
-    """What the command line logs at its end."""
-    reads = _reads(spark, d)
-    return run_summary(reads, build_graph(reads, MIN))
+    """What the command line logs at its end, observed by the tasks that write reads and edges."""
+    return run_summary(build_graph(_reads(spark, d), MIN))
+
+
+@_query(f"WITH {_EDGES} SELECT ovlp, count(*) AS n_edges FROM edges GROUP BY ovlp")
+def observed_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of each length, observed while the matching writes them."""
+    found = build_graph(_reads(spark, d), MIN).edges_by_length
+    return spark.createDataFrame(sorted(found.items()), "ovlp int, n_edges long")
 
 
-@_query("SELECT * FROM (VALUES (0, 'map'), (1, 'reduce'), (2, 'write')) t(nth, phase)")
+@_query(f"WITH {_EDGES} SELECT 0 AS nth, 'map' AS phase, count(*) AS n_rows FROM reads UNION ALL SELECT 1, 'reduce', count(*) FROM edges UNION ALL SELECT 2, 'write', count(*) FROM edges")
 def run_phases(spark: SparkSession, d: str) -> DataFrame:
-    """The phases of a command line run over FASTQ files, from its timings."""
+    """The phases of a command line run over FASTQ files, in order, with the rows that each leaves behind."""
     folder = f"{scratch(spark)}/{uuid4().hex}"
     fastq.write_fastq(derived.reads(spark, d), f"{folder}/reads")
     timings = Timings()
     with timings.phase("map"):
-        reads = fastq.read_fastq(spark, f"{folder}/reads")
+        reads = fastq_source.scan_reads(spark, f"{folder}/reads")
         fastq.equal_length(reads)
     with timings.phase("reduce"):
         built = build_graph(reads, MIN)
     with timings.phase("write"):
         writers.write(built.edges, built.reads, f"{folder}/graph", "csv")
-    return spark.createDataFrame([(i, phase) for i, (phase, took) in enumerate(timings.rows) if took > 0], "nth int, phase string")
+    rows = [built.n_reads, built.n_edges, spark.read.text(f"{folder}/graph").count()]
+    return spark.createDataFrame([(i, phase, n) for i, ((phase, _), n) in enumerate(zip(timings.rows, rows, strict=True))], "nth int, phase string, n_rows long")
 
 
 _SIGN = "CASE WHEN {0} & 1 = 0 THEN '+' ELSE '-' END"
