@@ -8,17 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows of a batch that goes between the JVM and Python, where the session has Spark's default of 10,000: with long texts such a
-#: batch would take hundreds of MB on either side.
-BATCH_SETTING, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Bytes of a batch that goes between the JVM and Python, where the session has not set it: each running task holds a few batches
+#: outside the heap on both sides, at Spark's own default 64 MB each, whatever the number of rows.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the application as a zip archive, once, and bound the session's batches."""
-    if spark.conf.get(BATCH_SETTING) == DEFAULT_ROWS:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    """Add the package to the application as a zip archive, once, and bound the bytes of the session's batches if nobody has."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _done:
         return
