@@ -1,0 +1,139 @@
+import random
+import struct
+
+import pytest
+from model import all_overlaps, complement, unique
+
+from strandweave.operators.graph import neighbour_chunks
+from strandweave.operators.runs import overlap_runs, run_table
+from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
+from strandweave.plans.scans import placed, segmented_scan
+from strandweave.plans.storage import materialize
+from strandweave.sinks import csr
+
+
+def unique_of(spark, reads):
+    return materialize(unique_oriented(spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string")))
+
+
+def case(seed):
+    rng = random.Random(seed)
+    size, letters = rng.randint(4, 12), "ACGT"[: rng.randint(1, 4)]
+    genome = "".join(rng.choice(letters) for _ in range(40))
+    reads = [genome[i : i + size] for i in (rng.randrange(len(genome) - size) for _ in range(rng.randint(1, 14)))]
+    return [*reads, *(complement(r) for r in reads[:2]), reads[0]], rng.randint(1, size)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_against_model(spark, tmp_path, seed):
+    reads, least = case(seed)
+    rows = unique(reads)
+    runs = overlap_runs(unique_of(spark, reads), least)
+    want = all_overlaps(rows, least)
+    found = [(r.src, r.dst, r.ovlp) for r in runs.expand().collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    degrees = lambda end: {i: sum(e[end] == i for e in want) for i in {e[end] for e in want}}
+    assert {r.src: r.degree for r in runs.out_degree().collect()} == degrees(0)
+    assert {r.dst: r.degree for r in runs.in_degree().collect()} == degrees(1)
+    stats = runs.edge_stats().first()
+    assert (stats.n_sources, stats.n_sinks, stats.n_edges, stats.max_out_degree) == (len(degrees(0)), len(degrees(1)), len(want), max(degrees(0).values(), default=0))
+    lengths = {n: sum(e[2] == n for e in want) for n in {e[2] for e in want}}
+    assert {r.ovlp: r.n_edges for r in runs.per_length().collect()} == lengths
+    heads, tails = {}, {}
+    for i, s in rows.items():
+        for n in range(least, len(s)):
+            heads.setdefault(s[:n], []).append(i)
+            tails.setdefault(s[-n:], []).append(i)
+    assert sorted(tuple(r) for r in run_table(runs).select("ovlp", "n_src", "n_dst", "first_src", "first_dst").collect()) == sorted((len(k), len(tails[k]), len(heads[k]), min(tails[k]), min(heads[k])) for k in heads if k in tails)
+    folder = (tmp_path / "csr").as_uri()
+    for per_file, block in ((1 << 20, 4096), (3, 2)):
+        csr.write_csr(runs, folder, per_file)
+        found = [(r.src, r.dst, r.ovlp) for r in csr.read_csr(spark, folder, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert csr.read_header(spark, folder) == stats.asDict()
+
+
+def test_a_repeat_takes_rows_in_proportion(spark, tmp_path):
+    """n reads that end with a repeat and m that start with it."""
+    rng = random.Random(3)
+    repeat, word = "ACGTTGCAAC", lambda: "".join(rng.choice("ACGT") for _ in range(10))
+    reads = [word() + repeat for _ in range(40)] + [repeat + word() for _ in range(50)]
+    runs = overlap_runs(unique_of(spark, reads), 10)
+    big = runs.sizes.where("n_src >= 40 AND n_dst >= 50").collect()
+    assert len(big) == 1
+    assert runs.sources.count() + runs.sinks.count() < 4 * len(reads) * 2
+    want = all_overlaps(unique(reads), 10)
+    assert len(want) >= 2000 and runs.edge_stats().first().n_edges == len(want)
+    folder = (tmp_path / "csr").as_uri()
+    csr.write_csr(runs, folder, per_file=32)
+    assert {(r.src, r.dst, r.ovlp) for r in csr.read_csr(spark, folder, 8).collect()} == want
+    sinks = b"".join(p.read_bytes()[16:] for p in sorted((tmp_path / "csr").glob("sinks-*.bin")))
+    sources = sorted((tmp_path / "csr").glob("sources-*.bin"))
+    assert len(sources) > 1 and all(struct.unpack_from("<Q", p.read_bytes())[0] <= 32 for p in sources)
+    rows, place = unique(reads), 0
+    for p in sources:  # read by hand: every range holds its source's sinks
+        body = p.read_bytes()
+        n = struct.unpack_from("<Q", body)[0]
+        ids, ovlp = struct.unpack_from(f"<{n}Q", body, 8), struct.unpack_from(f"<{n}i", body, 8 + 8 * n)
+        first, count = (struct.unpack_from(f"<{n}Q", body, 8 + 12 * n + 8 * n * k) for k in (0, 1))
+        for i, o, f, c in zip(ids, ovlp, first, count, strict=True):
+            own = struct.unpack_from(f"<{c}Q", sinks, 8 * f)
+            assert list(own) == sorted(j for j, s in rows.items() if s[:o] == rows[i][-o:])
+            place += 1
+    assert place == runs.sources.count()
+
+
+def test_runs_of_nothing(spark, tmp_path):
+    for reads, least in (([], 3), (["ACGT"], 4), (["ACGT", "GGTA"], 9)):
+        runs = overlap_runs(unique_of(spark, reads), least)
+        assert runs.expand().collect() == [] and runs.edge_stats().first().n_edges == 0
+        folder = (tmp_path / f"csr{least}").as_uri()
+        csr.write_csr(runs, folder)
+        assert csr.read_header(spark, folder) == {"n_sources": 0, "n_sinks": 0, "n_edges": 0, "max_out_degree": 0}
+        assert csr.read_csr(spark, folder).collect() == []
+
+
+def test_neighbour_chunks(spark):
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 200)] + [(i, rng.randrange(1000)) for i in range(1, 60)] + [(5, 7), (5, 7)]
+    by, place, want = {}, 0, []
+    for s, d in sorted(edges):
+        by.setdefault(s, []).append(d)
+    for s, ds in by.items():
+        for k in range(0, len(ds), 16):
+            want.append((s, k // 16, place, ds[k : k + 16]))
+            place += len(ds[k : k + 16])
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    found = sorted((r.src, r.chunk, r.first, r.targets) for r in neighbour_chunks(frame, 16).collect())
+    assert found == want and max(len(f[3]) for f in found) == 16
+    assert neighbour_chunks(frame.limit(0)).collect() == []
+
+
+def test_segmented_scans(spark):
+    """One segment holds half of the rows and spans many blocks; some segments share a block; nulls count for nothing."""
+    rng = random.Random(6)
+    rows = [("hot", i, rng.randrange(-50, 50)) for i in range(400)] + [(rng.choice("abcdefghij"), i, None if i % 7 == 0 else rng.randrange(-50, 50)) for i in range(380)] + [(None, i, i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "seg string, at int, x int").repartition(6)
+    spots = placed(frame, ["seg"], ["at"])
+    for block in (16, 64, 1 << 16):
+        found = segmented_scan(spots, ["seg"], {"total": ("sum", "x"), "top": ("max", "x"), "low": ("min", "x")}, block=block).collect()
+        want, held = [], {}
+        for seg, at, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+            seen = held.setdefault(seg, [])
+            seen += [x] if x is not None else []
+            want.append((str(seg), at, x or 0, sum(seen) if seen else None, max(seen, default=None), min(seen, default=None)))
+        assert sorted(((str(r.seg), r.at, r.x or 0, r.total, r.top, r.low) for r in found), key=str) == sorted(want, key=str)
+    assert segmented_scan(placed(frame.limit(0), ["seg"], ["at"]), ["seg"], {"t": ("sum", "x")}).collect() == []
+
+
+def test_observed_counts(spark):
+    for seed in range(4):
+        reads, least = case(seed)
+        frame = spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string")
+        for every in (False, True):
+            graph = build_graph(frame, least, every)
+            row = run_summary(graph).first()
+            assert (row.n_reads, row.n_unique, row.n_duplicates, row.n_edges) == (len(reads), graph.reads.count(), 2 * len(reads) - graph.reads.count(), graph.edges.count())
+            assert graph.edges_by_length == {r.ovlp: r["count"] for r in graph.edges.groupBy("ovlp").count().collect()}
+    empty = build_graph(frame.limit(0), 3)
+    assert (empty.n_reads, empty.n_unique, empty.n_edges, empty.edges_by_length) == (0, 0, 0, {})
