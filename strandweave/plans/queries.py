@@ -18,6 +18,7 @@ from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
 from strandweave.plans.matrix import BaseMatrix
 from strandweave.plans.scans import placed, segmented_scan
 from strandweave.plans.storage import dense_index, materialize, running_max, running_total, scratch
+from strandweave.plans.stored import RoundTables
 from strandweave.sinks import csr, writers
 from strandweave.sources import derived, fastq, fastq_source
 from strandweave.sources.derived import BASES, LENGTH, LETTERS, MIN_OVERLAP, STRIDE
@@ -509,6 +510,37 @@ def round_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.round_stats(_edges(spark, d), MIN, L)
 
 
+@_query(f"WITH {_CAND} SELECT src, dst, ovlp FROM cand")
+def candidates_from_stored(spark: SparkSession, d: str) -> DataFrame:
+    """All overlaps by joining stored tables bucket with bucket."""
+    tables = RoundTables(_uniq(spark, d), MIN)
+    found = materialize(tables.edges())
+    tables.drop()
+    return found
+
+
+_PARTNERS = f"{_UNIQ}, ends AS (SELECT id, l::INTEGER AS ovlp, substr(seq, {L} - l::INTEGER + 1) AS tail, substr(seq, 1, l::INTEGER) AS head FROM uniq, range({MIN}, {L}) r(l)), heads AS MATERIALIZED (SELECT DISTINCT ovlp, head AS sub FROM ends), tails AS MATERIALIZED (SELECT DISTINCT ovlp, tail AS sub FROM ends)"
+
+
+@_query(
+    f"WITH {_PARTNERS} SELECT ovlp, 'sources' AS side, true AS partner, count(*) AS n FROM ends SEMI JOIN heads h ON ends.ovlp = h.ovlp AND tail = h.sub GROUP BY ALL "
+    "UNION ALL SELECT ovlp, 'sources', false, count(*) FROM ends ANTI JOIN heads h ON ends.ovlp = h.ovlp AND tail = h.sub GROUP BY ALL "
+    "UNION ALL SELECT ovlp, 'sinks', true, count(*) FROM ends SEMI JOIN tails t ON ends.ovlp = t.ovlp AND head = t.sub GROUP BY ALL "
+    "UNION ALL SELECT ovlp, 'sinks', false, count(*) FROM ends ANTI JOIN tails t ON ends.ovlp = t.ovlp AND head = t.sub GROUP BY ALL"
+)
+def partners_by_round(spark: SparkSession, d: str) -> DataFrame:
+    """How many sources and sinks of each length have a partner and how many have none: semi and anti joins of stored tables."""
+    tables, out = RoundTables(_uniq(spark, d), MIN), None
+    for side in ("sources", "sinks"):
+        for partner in (True, False):
+            rows = tables.matched(side, partner=partner).groupBy("ovlp").agg(F.count("*").alias("n"))
+            rows = rows.select("ovlp", F.lit(side).alias("side"), F.lit(partner).alias("partner"), "n")
+            out = rows if out is None else out.union(rows)
+    found = materialize(out)
+    tables.drop()
+    return found
+
+
 @_query(f"WITH {_CAND}, o AS (SELECT src, count(*) AS n FROM cand GROUP BY src) SELECT count(*) AS n_sources, coalesce(sum(n), 0)::BIGINT AS n_edges, coalesce(max(n), 0) AS max_out_degree, (SELECT count(DISTINCT dst) FROM cand) AS n_sinks FROM o")
 def edge_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_stats(materialize(overlap.candidates(_uniq(spark, d), MIN)))
