@@ -210,7 +210,8 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
             for at in range(0, b.num_rows, BATCH_ROWS):
                 part = b.slice(at, BATCH_ROWS)
                 keys, ids = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("ids"))
-                data = [None if i is None else own.decode(i) for i in ids.to_pylist()]
+                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+                data = [own.decode(flat[a:z].tolist()) if there else None for a, z, there in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([keys, ids, pa.array(data, type=pa.binary())], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
