@@ -4,7 +4,8 @@ A document is its ids and the end id. Only one longer than the capacity is cut,
 by the whole ones. Pieces are dealt by hash to groups of about `group_rows`, each packed by one task: longest first, every
 piece goes where the sum over all gaps of the squared number of open sequences with that gap becomes smallest; a new
 sequence is opened only where no open one has room (that took 1.8 % fewer sequences than opening them freely). The number of groups follows the number of rows, so no task grows with the input, and
-a group wastes a few sequences at most. Only lengths and checksums are shuffled.
+a group wastes a few sequences at most. Only lengths and checksums are shuffled. Repeated rows are dealt to groups by their place in
+their task, so the input has to come in the same order if a task runs again, as Parquet files do.
 
 A null or empty text is the end id alone; repeated rows are packed one by one; ties are ordered by id, piece and
 checksum; an empty table gives an empty result. Other columns are not carried, so clashing names can't arise.
