@@ -14,15 +14,16 @@ An empty table gives an empty result. Columns besides those of `documents` are n
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.llm import langid, minhash, mixing, packing, suffix
-from strandweave.llm.common import keep, table
+from strandweave.llm.common import table
 from strandweave.plans.shipping import ship
+from strandweave.plans.storage import discard, settled
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -87,7 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir))
+        docs = settled(spark, partial(stage, spark, docs, sf_dir))  # what the stage wrote on its way goes
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _folders: dict[str, str] = {}
+_made: list[list[str]] = []  # what `settled` calls under way have seen written
 
 
 def use_folder(spark: SparkSession, folder: str) -> None:
@@ -60,6 +61,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
     with shuffles_end_with_their_query(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -85,6 +88,19 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df._strandweave_path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, materialised; whatever was materialised on the way to it is deleted."""
+    _made.append([])
+    try:
+        out = materialize(make())
+    finally:
+        made = _made.pop()
+    for path in made:
+        if path != out._strandweave_path:
+            _delete(spark, path)
+    return out
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all intermediate results of this application; frames that read them end with it."""
     _delete(spark, scratch(spark))

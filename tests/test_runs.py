@@ -137,3 +137,17 @@ def test_observed_counts(spark):
             assert graph.edges_by_length == {r.ovlp: r["count"] for r in graph.edges.groupBy("ovlp").count().collect()}
     empty = build_graph(frame.limit(0), 3)
     assert (empty.n_reads, empty.n_unique, empty.n_edges, empty.edges_by_length) == (0, 0, 0, {})
+
+
+def test_settled_results_leave_nothing_else(spark):
+    from pathlib import Path
+
+    from strandweave.plans.storage import scratch, settled
+
+    folder = Path(scratch(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.is_dir() else set()
+    found = settled(spark, lambda: overlap_runs(unique_of(spark, ["ACGTTGCA", "TTGCATGT", "CATGTCGC"]), 4).expand())
+    assert len({p.name for p in folder.iterdir()} - before) == 1 and found.count() > 0
+    with pytest.raises(ValueError):
+        settled(spark, lambda: build_graph(found, 0).edges)
+    assert settled(spark, lambda: found.limit(1)).count() == 1
