@@ -32,28 +32,30 @@ def candidates(reads: DataFrame, min_overlap: int, drop_self: bool = True, hot:
     """(src, dst, ovlp) of all overlaps of min_overlap to length - 1 bases, for reads of one length.
 
     Every overlap shares its first min_overlap bases with the sink's prefix, so one equi-join on the hash of that seed finds
-    the pairs of all lengths: sources are exploded by length, sinks aren't. A source carries the hash of its whole overlap,
-    which the sink's bases are tested against within the join, so that chance meetings of seeds never leave it; what is left
-    is verified on the strings. Seeds that more than `hot` sinks have, as in repeats, are joined by length and the hash of
-    the whole overlap instead, which only true pairs agree in; equal overlaps that are hot are split by adaptive skew joins.
+    the pairs of all lengths: sources are exploded by length, sinks aren't. A source carries two 64-bit hashes of its whole
+    overlap, which the sink's bases are tested against within the join, so that chance meetings of seeds never leave it, and no
+    pair has to be shuffled again to be compared by its strings: overlaps are told apart by 128 bits. Seeds that more than
+    `hot` sinks have, as in repeats, are joined by length and the hashes of the whole overlap instead, which only true pairs
+    agree in; equal overlaps that are hot are split by adaptive skew joins.
     """
     size, low = F.length("seq"), F.lit(min_overlap)
+    both = lambda text: (F.xxhash64(text), F.xxhash64(F.lit(1), text))
     source = reads.where(size > min_overlap).select(F.col("id").alias("src"), "seq", F.explode(F.sequence(low, size - 1)).alias("ovlp"))
-    source = source.select("src", "ovlp", F.xxhash64(F.substring("seq", F.length("seq") - F.col("ovlp") + 1, low)).alias("seed"), F.xxhash64(suffix("seq", F.col("ovlp"))).alias("whole"))
+    source = source.select("src", "ovlp", suffix("seq", F.col("ovlp")).alias("sub"))
+    source = source.select("src", "ovlp", F.xxhash64(F.substring("sub", F.lit(1), low)).alias("seed"), *(h.alias(n) for h, n in zip(both(F.col("sub")), ("k1", "k2"), strict=True)))
     sink = reads.where(size > min_overlap).select(F.col("id").alias("dst"), F.col("seq").alias("t"), F.xxhash64(F.substring("seq", 1, min_overlap)).alias("seed"))
-    head = F.substring("t", F.lit(1), F.col("ovlp"))
+    head = both(F.substring("t", F.lit(1), F.col("ovlp")))
+    agree = (head[0] == F.col("k1")) & (head[1] == F.col("k2"))
     frequent = materialize(sink.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("seed"))
     if frequent.isEmpty():
-        pairs = source.join(sink, "seed").where(F.xxhash64(head) == F.col("whole")).select("src", "dst", "ovlp", "t")
+        pairs = source.join(sink, "seed").where(agree).select("src", "dst", "ovlp")
     else:
         rare = [x.join(frequent, "seed", "left_anti") for x in (source, sink)]
-        pairs = rare[0].join(rare[1], "seed").where(F.xxhash64(head) == F.col("whole")).select("src", "dst", "ovlp", "t")
-        by_length = sink.join(frequent, "seed", "left_semi").select("dst", "t", F.explode(F.sequence(low, F.length("t") - 1)).alias("ovlp")).withColumn("whole", F.xxhash64(head))
-        pairs = pairs.union(source.join(frequent, "seed", "left_semi").join(by_length, ["ovlp", "whole"]).select("src", "dst", "ovlp", "t"))
-    if drop_self:
-        pairs = pairs.where(_foreign())
-    pairs = pairs.join(reads.select(F.col("id").alias("src"), F.col("seq").alias("s")), "src")
-    return pairs.where(suffix("s", F.col("ovlp")) == head).select("src", "dst", "ovlp")
+        pairs = rare[0].join(rare[1], "seed").where(agree).select("src", "dst", "ovlp")
+        by_length = sink.join(frequent, "seed", "left_semi").select("dst", "t", F.explode(F.sequence(low, F.length("t") - 1)).alias("ovlp"))
+        by_length = by_length.select("dst", "ovlp", *(h.alias(n) for h, n in zip(head, ("k1", "k2"), strict=True)))
+        pairs = pairs.union(source.join(frequent, "seed", "left_semi").join(by_length, ["ovlp", "k1", "k2"]).select("src", "dst", "ovlp"))
+    return pairs.where(_foreign()) if drop_self else pairs
 
 
 def candidates_by_fingerprint(reads: DataFrame, min_overlap: int) -> DataFrame:
