@@ -82,6 +82,17 @@ def test_keyed_access_reads_a_bounded_number_of_bytes(spark, docs_of):
     assert reads[1] < reads[0] + 500 and reads[1] < 2500
 
 
+def test_token_store_of_very_long_texts(spark, docs_of):
+    rows = [(1, "alpha beta " * 40_000), (2, "x" * 300_000), (3, None), (4, "beta"), (5, "alpha beta " * 40_000)]
+    folder = shared_dir(spark)
+    manifest = tokenstore.write(docs_of(rows), folder, shard_tokens=1000)
+    own = Encoder(tokenizer_path(WORD_BPE), "drop")
+    want = {d: ids(b) + [END_ID] for (d, _), b in zip(rows, own.encode_many([t for _, t in rows]), strict=True)}
+    assert {r.doc_id: r.n_tokens for r in tokenstore.read(manifest, folder).collect()} == {d: len(x) for d, x in want.items()}
+    store = tokenstore.TokenStore(manifest, folder)
+    assert all(store.get(d) == x for d, x in want.items())
+
+
 def test_token_store_of_nothing(spark, docs_of):
     folder = shared_dir(spark)
     assert tokenstore.read(tokenstore.write(docs_of([]), folder), folder).collect() == []
