@@ -7,7 +7,8 @@ suffix_dedup    passages of 50 bytes and more that an earlier document has are c
 mixing          documents are repeated or left out so that the sources meet their target weights
 packing         tokens are cut and packed into sequences
 
-Rows without an id are kept by the filters like others, but share no links, and those alike in all columns are mixed alike.
+Rows of `near_dedup` are told apart by a 64-bit hash of id and text; two that collide, of 10^10 rows perhaps three, count as one
+document. Rows without an id are kept by the filters like others, but share no links, and those alike in all columns are mixed alike.
 An empty table gives an empty result. Columns besides those of `documents` are not carried.
 """
 
