@@ -202,14 +202,14 @@ def _sql() -> str:
         ctes.append(
             f"""m{n} AS (
   SELECT p, e, list(floor(s / k) ORDER BY i) AS c FROM (
-    SELECT a.p, a.best.e AS e, i, sum(x.c[i]) AS s, count(*) AS k FROM a{n} a JOIN parts x USING (vec_id, p), range(1, 17) t(i) GROUP BY ALL) GROUP BY p, e
+    SELECT p, e, i, sum(c[i]) AS s, count(*) AS k FROM (SELECT p, a.best.e AS e, x.c, unnest(range(1, len(x.c) + 1)) AS i FROM a{n} a JOIN parts x USING (vec_id, p)) GROUP BY p, e, i) GROUP BY p, e
 ), b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (p, e))"""
         )
     ctes.append(_round_sql(ROUNDS))
-    ctes.append(f"s AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{ROUNDS}, range(1, 17) t(i))")
+    ctes.append(f"s AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS i FROM b{ROUNDS}))")
     ctes.append(f"k AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id)")
     return "WITH " + ", ".join(ctes) + " SELECT v.vec_id, k.code, k.error, CAST(sum(k.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, s.codebooks_sha256 FROM v JOIN k USING (vec_id), s"
 
 
-#: For vectors of 64 components, each id once.
+#: For vectors of one length, which 4 divides, and each id once.
 SQL = _sql()
