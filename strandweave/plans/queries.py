@@ -46,12 +46,16 @@ def _query(sql: str | None) -> Callable[[Query], Query]:
 # SQL building blocks: common table expressions, each with what it needs before it
 
 _RAW = f"""letters AS (
-  SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS b FROM documents
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS doc_no,
+         translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS b FROM documents
+), places AS (
+  SELECT doc_id, doc_no, b, unnest(range(0, length(b) - {L} + 1, {STRIDE}) || CASE WHEN (length(b) - {L}) % {STRIDE} <> 0 THEN [length(b) - {L}] ELSE []::BIGINT[] END) AS off
+  FROM letters WHERE length(b) >= {L}
 ), raw AS (
-  SELECT doc_id, off, substr(b, CAST(off AS INTEGER) + 1, {L}) AS seq FROM (SELECT doc_id, b, unnest(range(0, length(b) - {L} + 1, {STRIDE})) AS off FROM letters WHERE length(b) >= {L})
+  SELECT doc_id, doc_no, off, substr(b, CAST(off AS INTEGER) + 1, {L}) AS seq FROM places
 )"""
 _BAD = "regexp_matches(seq, '[H-OX-_h-ox-\\x7f]')"
-_READS = f"{_RAW}, reads AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS ordinal, seq FROM raw WHERE NOT {_BAD})"
+_READS = f"{_RAW}, reads AS (SELECT row_number() OVER (ORDER BY doc_no, off) - 1 AS ordinal, seq FROM raw WHERE NOT {_BAD})"
 _RC = "reverse(translate({0}, 'ACGTacgt', 'TGCATGCA'))"
 _ORIENTED = f"{_READS}, oriented AS (SELECT 2 * ordinal AS id, seq FROM reads UNION ALL SELECT 2 * ordinal + 1, {_RC.format('seq')} FROM reads)"
 _UNIQ = f"{_ORIENTED}, uniq AS MATERIALIZED (SELECT min(id) AS id, seq FROM oriented GROUP BY seq)"
@@ -113,7 +117,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 # sources, parsing
 
 
-@_query(f"WITH {_RAW} SELECT 4 * (row_number() OVER (ORDER BY doc_id, off) - 1) + 1 AS line_no, seq FROM raw")
+@_query(f"WITH {_RAW} SELECT 4 * (row_number() OVER (ORDER BY doc_no, off) - 1) + 1 AS line_no, seq FROM raw")
 def reads_extract(spark: SparkSession, d: str) -> DataFrame:
     every = derived.reads(spark, d, keep_low_quality=True)
     return fastq.extract(fastq.check_lines(fastq.to_lines(every)))
@@ -128,7 +132,7 @@ def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"WITH {_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS ordinal, seq FROM raw) "
+    f"WITH {_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_no, off) - 1 AS ordinal, seq FROM raw) "
     "SELECT 4 * ordinal + k AS line_no, CASE k WHEN 0 THEN '@r' || ordinal WHEN 1 THEN seq WHEN 2 THEN '+' ELSE repeat('I', length(seq)) END AS value FROM every, range(0, 4) t(k)"
 )
 def fastq_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +163,7 @@ def equal_length_check(spark: SparkSession, d: str) -> DataFrame:
     return ops.length_summary(_reads(spark, d))
 
 
-_EVERY = f"{_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS ordinal, seq FROM raw)"
+_EVERY = f"{_RAW}, every AS (SELECT row_number() OVER (ORDER BY doc_no, off) - 1 AS ordinal, seq FROM raw)"
 
 
 @_query(f"WITH {_EVERY} SELECT 'r' || ordinal AS name, seq, repeat('I', length(seq)) AS quality FROM every")

@@ -1,7 +1,9 @@
 """Reads derived from the text of `documents`, for tables without sequencing data.
 
-Letters become bases by their place in the alphabet (z becomes N, which exercises the quality filter); all windows of
-`length` bases at multiples of `stride` over the whole text are reads, in order of document and offset.
+Letters become bases by their place in the alphabet (z becomes N, which exercises the quality filter). The reads of a text are
+its windows of `length` bases at multiples of `stride`, and a last one that ends where the text ends, so every letter of a text
+is in a read; a text of fewer than `length` letters has none. Reads are in order of document and offset, documents in order of id
+(null first) and text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from strandweave.plans.storage import numbered
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN"
 LENGTH, STRIDE, MIN_OVERLAP = 48, 16, 32
+TIE = 64
 
 
 def windows(pieces: Column, per: int, step: int) -> Column:
@@ -28,18 +31,25 @@ def windows(pieces: Column, per: int, step: int) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in order of their ids, spread over tasks by them, however few splits their file has."""
+    """Documents in order of their ids, spread over tasks by them, however few splits their file has; those that share one by text.
+
+    Ranges look at the start of a text only, as the driver sees a sample of what they are cut by.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return docs.repartitionByRange("doc_id", F.substring("text", 1, TIE)).sortWithinPartitions("doc_id", "text")
 
 
 def raw_reads(spark: SparkSession, sf_dir: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
     """(doc_id, off, seq) before the quality filter, in order within and over partitions."""
     bases = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
     size = gcd(length, stride)
-    cut = _documents(spark, sf_dir).select("doc_id", F.regexp_extract_all(bases, F.lit(f"[A-Z]{{{size}}}"), F.lit(0)).alias("pieces"))  # once for each text
-    rows = cut.select("doc_id", F.posexplode(windows(F.col("pieces"), length // size, stride // size)).alias("nth", "seq"))
-    return rows.select("doc_id", (F.col("nth") * stride).alias("off"), "seq")
+    cut = _documents(spark, sf_dir).select("doc_id", bases.alias("bases"))
+    last = F.length("bases") - length  # where the window that ends with the text starts
+    tail = F.when((last > 0) & (last % stride != 0), F.array(F.substring("bases", -length, length))).otherwise(F.array().cast("array<string>"))
+    pieces = F.regexp_extract_all("bases", F.lit(f"[A-Z]{{{size}}}"), F.lit(0))  # once for each text
+    cut = cut.select("doc_id", last.alias("last"), tail.alias("tail"), pieces.alias("pieces"))
+    rows = cut.select("doc_id", "last", F.posexplode(F.concat(windows(F.col("pieces"), length // size, stride // size), "tail")).alias("nth", "seq"))
+    return rows.select("doc_id", F.least(F.col("nth") * stride, "last").alias("off"), "seq")
 
 
 def reads(spark: SparkSession, sf_dir: str, keep_low_quality: bool = False) -> DataFrame:
