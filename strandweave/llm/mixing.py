@@ -7,20 +7,20 @@ remains for it and all later ones.
 
 Sampling: each document is taken floor(target / source size) times. The rest of the target is shared by the source's size
 classes (documents of as many binary digits) in proportion to their sizes, and filled in each class by its documents in a
-seeded order (MD5 of seed and id), up to the document at which the sum comes nearest. The smallest class that has room for
+seeded order (MD5 of seed and id, of rows without an id their text's MD5), up to the document at which the sum comes nearest. The smallest class that has room for
 what all others leave then takes that, so that a source ends within half a document of that class of its target; where no
 class has room, the classes' own roundings, half a document each at most, add up. The running sums go over
 hash buckets of each class, so that a source with a third of all rows is spread over many tasks. Reruns agree, as the
 order depends on nothing but the row.
 
 A null source is a source of its own, ordered last; a null or blank text has size 0 and is never sampled beyond its
-whole repetitions, which count nothing; a null id is ordered as an empty one; repeated rows are taken one by one; an
+whole repetitions, which count nothing; rows with a null id are spread by their texts; repeated rows are taken one by one; an
 empty table gives an empty result. The input's other columns are not carried, so clashing names can't arise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,12 +47,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return s.select("source", "source_size", F.least(F.col("clamp").cast("double"), raw).alias("target"))
 
 
+def dice(key: str, text: str, seed: str) -> Column:
+    """What orders rows at random: a digest of the id, of rows without one of the text."""
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+
+
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often the mix takes each row."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = keep(rows.withColumn("class", F.length(F.bin("size"))).withColumn("dice", digest)).withColumn("bucket", F.substring("dice", 1, 2))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), dice(key, text, seed).alias("dice"))
+    rows = keep(rows.withColumn("class", F.length(F.bin("size")))).withColumn("bucket", F.substring("dice", 1, 2))
 
     part = rows.groupBy("source", "class", "bucket").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +97,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dice
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS dice
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source

@@ -6,8 +6,8 @@ keys of an arc that find their shard full continue clockwise to the next point w
 by one at most, and only overflowing keys leave their home.
 
 Keys of an arc are ordered by (ring position, key, size, checksum). Only the number of keys per (arc, lane) goes to the
-driver: vnodes * shards * lanes counts, whatever the number of rows. Null keys share one position, null texts count as
-empty; repeated rows are placed one by one; an empty table gives an empty result. The input's other columns are not
+driver: vnodes * shards * lanes counts, whatever the number of rows. Rows with a null key stand where their text's checksum
+puts them, null texts count as empty; repeated rows are placed one by one; an empty table gives an empty result. The input's other columns are not
 carried, so clashing names can't arise.
 """
 
@@ -71,7 +71,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     arcs = len(owner)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("pos", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 1))
+    of_text = F.xxhash64("text_crc32", "size", F.lit("no id"))  # so that rows without an id spread over the ring
+    rows = rows.withColumn("pos", F.shiftrightunsigned(F.when(F.col("doc_id").isNull(), of_text).otherwise(F.xxhash64(F.col("doc_id").cast("string"))), 1))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("lane")), F.lit(lanes)).cast("int"))
 
     def add_arc(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,13 +85,13 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
             nth = np.repeat(np.arange(len(order)), counts)
             id_of, row_of = np.array(ids)[order], np.array(rows)[order]
             both = mix64(h1 + mix64(h2))
-            by = np.argsort(both, kind="stable")  # owners ascend within equal runs
-            new = np.append(True, both[by][1:] != both[by][:-1])
+            by = np.argsort(both, kind="stable")  # owners ascend within equal runs, which agree in both hashes
+            new = np.append(True, (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1]))
             owner = id_of[nth[by][new]][np.cumsum(new) - 1]
             settled = np.zeros(len(by), dtype=bool)
             settled[by] = id_of[nth[by]] > owner
             once = np.zeros(len(by), dtype=bool)  # one entry for each row and run
-            once[by] = np.append(True, (both[by][1:] != both[by][:-1]) | (nth[by][1:] != nth[by][:-1]))
+            once[by] = new | np.append(True, nth[by][1:] != nth[by][:-1])
             out: list[tuple] = []
             edges = np.concatenate([[0], np.cumsum(counts)])
             for d in np.unique(nth[settled]).tolist():

@@ -121,7 +121,9 @@ def test_ring_against_a_plain_walk(docs_of, odd):
 
     frame = docs_of(odd + [(i, f"text {i}") for i in range(700)] + [(5000, "hot")] * 50, extra=False)
     body = F.coalesce("text", F.lit(""))
-    keyed = frame.select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 1).alias("pos"), F.crc32(body.cast("binary")).alias("crc"), (F.octet_length(body) + 1).cast("long").alias("size"), "doc_id")
+    crc, size = F.crc32(body.cast("binary")), (F.octet_length(body) + 1).cast("long")
+    at = F.when(F.col("doc_id").isNull(), F.xxhash64(crc, size, F.lit("no id"))).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
+    keyed = frame.select(F.shiftrightunsigned(at, 1).alias("pos"), crc.alias("crc"), size.alias("size"), "doc_id")
     keyed = keyed.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.col("crc").alias("text_crc32"), F.lit("lane")), F.lit(ring.LANES)))
     rows = [(r.pos, r.lane, r.doc_id, r["size"], r.crc) for r in keyed.collect()]
     for shards in (16, 5):
@@ -131,6 +133,16 @@ def test_ring_against_a_plain_walk(docs_of, odd):
         assert {k: sorted(v) for k, v in found.items()} == plain_ring(rows, shards)
 
 
+def test_rows_without_an_id_spread(docs_of):
+    """They share neither a place of the ring nor a bucket of the mix."""
+    frame = docs_of([(None, f"text {i}") for i in range(2000)])
+    assert Counter(r.shard for r in ring.assign(frame).collect()) == Counter({s: 125 for s in range(16)})
+    found = frame.select(mixing.dice("doc_id", "text", "seed").alias("dice")).collect()
+    assert len({r.dice for r in found}) == 2000 and max(Counter(r.dice[:2] for r in found).values()) < 40
+    mixed = mixing.sample(frame).collect()
+    assert len(mixed) == 2000 and sum(r["size"] * r.copies for r in mixed) == 4000
+
+
 def test_ring_moves_a_bounded_share_when_a_shard_is_added(docs_of):
     frame = docs_of([(i, "t") for i in range(4000)])
     before, after = ({r.doc_id: r.shard for r in ring.assign(frame, shards=n).collect()} for n in (16, 17))
