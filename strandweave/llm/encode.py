@@ -38,12 +38,13 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, blanks: str):
+    def __init__(self, path: str, blanks: str, room: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.inner, self.blanks, self.cache = Tokenizer.from_file(path), blanks, {}
         self.older: dict[str, bytes] = {}
+        self.room = room
         self.unsure = _UNSURE[blanks].search
         self.vocab_size = self.inner.get_vocab_size()
         self.line_feed = self._whole(["\n"])[0]
@@ -122,7 +123,7 @@ class Encoder:
                 for line in lines:
                     line[0] = "\n" + line[0]
                 cut.append(lines)
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.room:
             self.older, self.cache = self.cache, {}
         new = set().union(*(line for lines in cut if lines for line in lines))
         if new := [p for p in new if p not in self.cache]:
@@ -134,6 +135,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blanks: str) -> Encoder:
+def encoder(path: str, blanks: str, room: int = CACHE) -> Encoder:
     """One encoder per worker and vocabulary, kept from task to task."""
-    return Encoder(path, blanks)
+    return Encoder(path, blanks, room)

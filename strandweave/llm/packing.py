@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import batches, table
-from strandweave.llm.encode import BYTE_BPE, END_ID, encoder, tokenizer_path
+from strandweave.llm.encode import BYTE_BPE, CACHE, END_ID, encoder, tokenizer_path
 
 CAPACITY, GROUP_ROWS = 1024, 60_000
+#: Cached pieces where packing has the worker to itself, as the query has.
+WIDE_CACHE = 600_000
 
 
 def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +56,12 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str | None = None, blanks: str = "lead", capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) of every document; no text leaves its task. The salt tells repeated rows apart."""
+def pieces(docs: DataFrame, path: str | None = None, blanks: str = "lead", capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, salt) of every document; no text leaves its task. The salt tells repeated rows apart;
+    `cache` bounds the encoder's cached pieces in a generation, some 150 bytes each in every worker."""
 
     def cut(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path or tokenizer_path(BYTE_BPE), blanks), END_ID.to_bytes(4, "little")
+        enc, end = encoder(path or tokenizer_path(BYTE_BPE), blanks, cache), END_ID.to_bytes(4, "little")
         salt = 0
         for ids, texts in batches(blocks, ["doc_id", "text"]):
             rows = []
@@ -94,4 +97,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), cache=WIDE_CACHE)
