@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.fingerprint import DUAL, Hash, fingerprint
+from strandweave.functions.fingerprint import DUAL, Hash, fingerprint, fingerprinted
 from strandweave.operators.overlap import suffix
 
 
@@ -19,7 +19,7 @@ def side(reads: DataFrame, which: str, length: int | None = None) -> DataFrame:
 def strings_per_fp(reads: DataFrame, pair: tuple[Hash, Hash] = DUAL, which: str = "read", length: int | None = None) -> DataFrame:
     """(fp, n_strings): how many different strings each fingerprint stands for."""
     strings = side(reads, which, length).groupBy("sub").agg(F.count("*").alias("n"))
-    return strings.select(fingerprint(F.col("sub"), pair).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_strings"))
+    return fingerprinted(strings.select("sub"), "sub", pair).groupBy("fp").agg(F.count("*").alias("n_strings"))
 
 
 def collisions_by_round(reads: DataFrame, min_overlap: int, pair: tuple[Hash, Hash] = DUAL) -> DataFrame:
@@ -35,6 +35,6 @@ def collisions_by_round(reads: DataFrame, min_overlap: int, pair: tuple[Hash, Ha
 def collision_rate(reads: DataFrame, pair: tuple[Hash, Hash] = DUAL, which: str = "read", length: int | None = None) -> DataFrame:
     """One row: distinct strings, distinct fingerprints, and the share of strings lost to collisions in per cent."""
     strings = side(reads, which, length).groupBy("sub").agg(F.count("*").alias("n"))
-    per_fp = strings.select(fingerprint(F.col("sub"), pair).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    per_fp = fingerprinted(strings.select("sub"), "sub", pair).groupBy("fp").agg(F.count("*").alias("n"))
     totals = per_fp.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_strings"), F.count("*").alias("n_fps"), F.count(F.when(F.col("n") > 1, 1)).alias("n_shared_fps"))
     return totals.withColumn("rate_percent", F.when(F.col("n_strings") == 0, F.lit(0.0)).otherwise((1 - F.col("n_fps") / F.col("n_strings")) * 100))
