@@ -6,7 +6,7 @@ from model import BAD, complement, fp
 from pyspark.sql import functions as F
 
 from strandweave.functions import bases
-from strandweave.functions.fingerprint import DUAL, Hash, combine, fingerprint, prefix_fingerprints, split, suffix_fingerprints
+from strandweave.functions.fingerprint import DUAL, Hash, combine, fingerprint, fingerprinted, prefix_fingerprints, prefix_sums, split, suffix_fingerprints
 from strandweave.operators.diagnostics import collision_rate
 from strandweave.operators.reads import base_column, distinct_reads, duplicate_groups, duplicates_removed, length_summary, lengths_and_offsets, orient, transpose, with_fingerprint
 
@@ -92,3 +92,24 @@ def test_collisions(spark):
     want = len({fp(r.seq, 5, 3, 7, 3) for r in reads.collect()})
     assert tiny.n_fps == want and abs(tiny.rate_percent - (1 - want / tiny.n_strings) * 100) < 1e-9
     assert collision_rate(reads, pair, "suffix", 3).first().n_strings <= 4**3 + 4**2 + 4
+
+
+def test_scanned_fingerprints_equal_those_of_columns(spark):
+    rng = random.Random(9)
+    reads = ["".join(rng.choice("ACGTacgtR") for _ in range(n)) for n in (*range(40), 48, 48, 200)]
+    frame = spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string").repartition(3)
+    for pair in (DUAL, (Hash(1009, 5), Hash(13, 7))):
+        rows = fingerprinted(frame, "seq", pair).withColumn("want", fingerprint(F.col("seq"), pair)).collect()
+        assert len(rows) == len(reads) and all(r.fp == r.want for r in rows)
+    sums = prefix_sums(frame).withColumns({f"w{i}": F.aggregate(k.prefixes(F.col("seq")), F.lit(0).cast("long"), lambda a, e: a + e) for i, k in enumerate(DUAL)}).collect()
+    assert len(sums) == len(reads) and all((r.sum_h1, r.sum_h2) == (r.w0, r.w1) for r in sums)
+
+
+def test_transpose_shuffles_reads_whole(spark):
+    rng = random.Random(8)
+    reads = ["".join(rng.choice("ACGT") for _ in range(7)) for _ in range(50)]
+    frame = spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string").repartition(5)
+    found = transpose(frame, 16)
+    assert sorted((r.pos, r.block, r.bases) for r in found.collect()) == sorted((p, b, "".join(s[p] for s in reads[16 * b : 16 * b + 16])) for p in range(7) for b in range(4))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert transpose(frame.limit(0)).collect() == []
