@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from os.path import commonprefix
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.fingerprint import DUAL, Hash, fingerprint, fingerprinted
+from strandweave.functions.fingerprint import DUAL, Hash, fingerprinted
 from strandweave.operators.overlap import suffix
 
 
@@ -23,12 +27,33 @@ def strings_per_fp(reads: DataFrame, pair: tuple[Hash, Hash] = DUAL, which: str
 
 
 def collisions_by_round(reads: DataFrame, min_overlap: int, pair: tuple[Hash, Hash] = DUAL) -> DataFrame:
-    """(ovlp, side, n_strings, n_fps, n_shared_fps) of the suffixes and prefixes that each round compares, by one aggregation."""
-    size = F.length("seq")
-    every = reads.where(size > min_overlap).select("seq", F.explode(F.sequence(F.lit(min_overlap), size - 1)).alias("ovlp"))
-    ends = F.array(F.struct(F.lit("suffix").alias("side"), suffix("seq", F.col("ovlp")).alias("sub")), F.struct(F.lit("prefix").alias("side"), F.substring("seq", F.lit(1), F.col("ovlp")).alias("sub")))
-    strings = every.select("ovlp", F.explode(ends).alias("e")).select("ovlp", "e.side", "e.sub").distinct()
-    per_fp = strings.groupBy("ovlp", "side", fingerprint(F.col("sub"), pair).alias("fp")).agg(F.count("*").alias("n"))
+    """(ovlp, side, n_strings, n_fps, n_shared_fps) of the suffixes and prefixes that each round compares, by one aggregation.
+
+    Suffixes are prefixes read backwards. Reads are shuffled whole, once for each side, by the min_overlap bases that all strings of a
+    read on that side share, and put in order; a read's prefixes longer than what it has in common with the read before are new.
+    """
+    wanted = reads.where(F.length("seq") > min_overlap)
+    ends = F.array(F.struct(F.lit("suffix").alias("side"), F.reverse("seq").alias("text")), F.struct(F.lit("prefix").alias("side"), F.col("seq").alias("text")))
+    own = wanted.select(F.explode(ends).alias("e")).select("e.side", "e.text").withColumn("seed", F.xxhash64(F.substring("text", 1, min_overlap)))
+    dealt = own.repartition("side", "seed").sortWithinPartitions("side", "text").select("side", "text")
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = ("", "")
+        for b in blocks:
+            sides, texts, ovlps, subs = [], [], [], []
+            for side, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shared = len(commonprefix([last[1], text])) if side == last[0] else 0
+                if side == last[0] and len(last[1]) - 1 < shared:
+                    shared = len(last[1]) - 1  # the whole of the read before is no string of its own
+                for n in range(max(min_overlap, shared + 1), len(text)):
+                    sides.append(side)
+                    ovlps.append(n)
+                    subs.append(text[:n] if side == "prefix" else text[:n][::-1])
+                last = (side, text)
+            yield pa.RecordBatch.from_arrays([pa.array(ovlps, type=pa.int32()), pa.array(sides, type=pa.string()), pa.array(subs, type=pa.string())], names=["ovlp", "side", "sub"])
+
+    strings = dealt.mapInArrow(run, "ovlp int, side string, sub string")
+    per_fp = fingerprinted(strings, "sub", pair).groupBy("ovlp", "side", "fp").agg(F.count("*").alias("n"))
     return per_fp.groupBy("ovlp", "side").agg(F.sum("n").alias("n_strings"), F.count("*").alias("n_fps"), F.count(F.when(F.col("n") > 1, 1)).alias("n_shared_fps"))
 
 

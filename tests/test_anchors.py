@@ -5,7 +5,9 @@ import random
 import pytest
 from model import all_overlaps
 
+from strandweave.functions.fingerprint import Hash
 from strandweave.operators.anchors import Anchors
+from strandweave.operators.diagnostics import collisions_by_round
 from strandweave.operators.overlap import candidates
 from strandweave.operators.runs import overlap_runs
 from strandweave.plans.assemble import unique_oriented
@@ -43,3 +45,18 @@ def test_reads_of_several_lengths_are_an_error(spark):
     reads = spark.createDataFrame([(0, "ACGTAC"), (2, "ACGTACG")], "id long, seq string")
     with pytest.raises(ValueError, match="one length"):
         candidates(reads, 3)
+
+
+def test_collision_rounds_shuffle_reads_whole(spark):
+    """Prefixes of prefixes, reads within others and of several lengths: each string is counted once."""
+    rng = random.Random(10)
+    reads = sorted({"".join(rng.choice("AC") for _ in range(n)) for n in (2, 3, 5, 5, 5, 6, 6, 6, 6, 7, 7, 8, 9, 9, 9)} | {"ACACAC", "ACACA", "ACACACA"})
+    frame = spark.createDataFrame(list(enumerate(reads)), "id long, seq string").repartition(3)
+    found = collisions_by_round(frame, 3, (Hash(11, 5), Hash(3, 7)))
+    want = {}
+    for s in reads:
+        for n in range(3, len(s)):
+            want.setdefault((n, "prefix"), set()).add(s[:n])
+            want.setdefault((n, "suffix"), set()).add(s[-n:])
+    assert {(r.ovlp, r.side): r.n_strings for r in found.collect()} == {k: len(v) for k, v in want.items()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # by side, not by length
