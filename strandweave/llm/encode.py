@@ -7,27 +7,49 @@ that the pre-splitting is certain to draw, and the ids of each cut looked up or
 * `lead` tokenizers keep a single blank with the word after it: a border stands before a blank, and around a line
   feed, where no white space touches other white space.
 
-Both draw a border between letters and punctuation, too, so a word with ASCII marks after it is put together from the two.
-`drop` tokenizers lower-case texts, so that is done first where it comes to the same.
+Both draw a border between a letter or digit and the marks after it, so a word and its last ASCII marks are pieces of their own.
+`drop` tokenizers lower-case texts; ASCII letters are put in lower case first, but for those before another kind of letter or mark,
+which may be composed with it.
 
-Texts for which that isn't certain (special-token marks, other or doubled white space) go through the tokenizer whole.
+Texts are cut as blocks of bytes, and each different piece of a block is looked up once. Texts for which the borders aren't
+certain (special-token marks, other or doubled white space) go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from strandweave.functions.blocks import column_of
 
 WORD_BPE, BYTE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 #: Cached pieces per worker of two generations: when the younger is full it becomes the older, whose pieces move over as they
 #: are used again.
 CACHE = 200_000
+BLOCK, TOGETHER = 1 << 20, 200  # letters of texts that are cut at once, and pieces that are encoded in one call
 _UNSURE = {"drop": re.compile("[\x1c-\x1f]|<\\|"), "lead": re.compile(r"\s\s|[^\S \n]|<\|")}
+_OTHER_BLANKS = re.compile(r"[^\S\x00-\x7f]")
+
+
+def _bytes(*ranges: range | bytes) -> np.ndarray:
+    """A table of the bytes in the ranges."""
+    out = np.zeros(256, dtype=bool)
+    out[list(chain(*ranges))] = True
+    return out
+
+
+BLANK, CONTROL, UPPER = _bytes(range(9, 14), b" "), _bytes(range(9, 14), range(28, 33)), _bytes(range(65, 91))
+ALNUM = _bytes(range(48, 58), range(65, 91), range(97, 123))
+MARK = _bytes(range(33, 127)) & ~ALNUM
+LATIN = _bytes(range(0x80, 0xC0)) & ~_bytes(b"\x97\xb7")  # after 0xC3: letters, but for the signs of multiplication and division
+#: First and second bytes of all white space that isn't ASCII.
+STRANGE, STRANGE_NEXT = _bytes(b"\xc2\xe1\xe2\xe3"), _bytes(b"\x80\x81\x85\x9a\xa0")
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,12 +80,12 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode pieces, many in one call, parted by line feeds; the bytes that tokens stand for tell where each ends.
 
-        For a `lead` tokenizer a piece stands for itself after a blank; one that starts a line is marked by a line feed.
+        A piece has the white space before it, which a `lead` tokenizer takes if it is a blank, and others don't.
         """
         lead, put = self.blanks == "lead", self.cache.__setitem__
-        texts = [p[1:] if p[:1] == "\n" else " " + p for p in new] if lead else new
-        for at in range(0, len(new), 200):
-            keys, some = new[at : at + 200], texts[at : at + 200]
+        texts = [p.removeprefix("\n" if lead else " ") for p in new]
+        for at in range(0, len(new), TOGETHER):
+            keys, some = new[at : at + TOGETHER], texts[at : at + TOGETHER]
             raw = self._whole(["\n".join(some)])[0]
             if lead:
                 sizes = [len(p.encode()) + 1 for p in some]  # with the line feed, but for the last
@@ -72,7 +94,7 @@ class Encoder:
                 sizes = [len(p.encode()) if p.isascii() else len(unicodedata.normalize("NFC", p).lower().encode()) for p in some]
             ends, upto = np.cumsum(self.token_bytes[np.frombuffer(raw, dtype="<u4")]), np.cumsum(sizes)
             cuts = np.searchsorted(ends, upto)
-            if min(sizes) > lead and not any(p.isspace() for p in some) and cuts[-1] == len(ends) - 1 and (ends[cuts] == upto).all():
+            if all(some) and not any(p.isspace() for p in some) and cuts[-1] == len(ends) - 1 and (ends[cuts] == upto).all():
                 stops = (4 * cuts + 4).tolist()
                 less = 4 * lead
                 for key, first, stop in zip(keys, [0, *stops], stops, strict=False):
@@ -81,57 +103,88 @@ class Encoder:
             else:  # a blank of its own, or a letter that libraries lower-case in different ways
                 self.cache.update(zip(keys, self._whole(some), strict=True))
 
-    def _add(self, new: list[str]) -> None:
-        """Put pieces into the cache: words and the marks after them on their own, as far as they aren't there."""
-        cache, split, single = self.cache, [], set()
-        first = "\n" if self.blanks == "lead" else ""  # marks have no blank before them
-        known = self.older
-        for p in new:
-            if p in known:
-                cache[p] = known[p]
-                continue
-            word = p.rstrip(string.punctuation)
-            if len(word) < len(p) and word.removeprefix("\n").lower().isalpha():  # some letters get a mark when lower-cased
-                split.append((p, word, first + p[len(word) :]))
-            else:
-                single.add(p)
-        for x in {x for parts in split for x in parts[1:] if x not in cache}:
-            if x in known:
-                cache[x] = known[x]
-            else:
-                single.add(x)
-        if single:
-            self._learn(list(single))
-        for p, word, marks in split:
-            cache[p] = cache[word] + cache[marks]
-
-    def _lower(self, text: str) -> str:
-        return text.lower() if text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text) else text
+    def _doubtful(self, data: np.ndarray) -> np.ndarray:
+        """Places of all bytes that may make a text unsure, or be white space that isn't ASCII, and of some others."""
+        odd = CONTROL[data]
+        if self.blanks == "drop":
+            odd &= ~BLANK[data]
+        else:
+            twice = odd[:-1] & odd[1:]
+            odd &= (data != 32) & (data != 10)
+            odd[:-1] |= twice
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124) | STRANGE[data[:-1]] & STRANGE_NEXT[data[1:]]
+        return np.flatnonzero(odd)
+
+    @staticmethod
+    def _cut(data: np.ndarray) -> np.ndarray:
+        """Where the pieces of texts start, which come one after another with white space before each: at all white space, and at the
+        marks that end a word."""
+        starts = np.flatnonzero(BLANK[data])
+        ends = np.append(starts[1:], len(data))
+        body = np.flatnonzero(~MARK[data])
+        upto = body[np.searchsorted(body, ends) - 1] + 1  # where a piece has nothing but marks any more
+        last = data[upto - 1]
+        marks = upto[(upto < ends) & (ALNUM[last] | LATIN[last] & (data[upto - 2] == 0xC3))]
+        return np.sort(np.concatenate([starts, marks]), kind="stable")
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces; those that aren't in the cache are put there."""
+        if len(self.cache) > self.room:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        if new := [p for p in pieces if p not in cache]:
+            if older:
+                cache |= {p: older[p] for p in new if p in older}
+                new = [p for p in new if p not in cache]
+            self._learn(new)
+        return list(map(cache.__getitem__, pieces))
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not empty."""
+        data, upto = self._joined(texts)
+        doubtful = np.unique(np.searchsorted(upto, self._doubtful(data), side="right")).tolist()
+        if whole := {i: raw for i in doubtful if self.unsure(texts[i]) for raw in self._whole([texts[i]])}:
+            rest = iter(self._block(left) if (left := [t for i, t in enumerate(texts) if i not in whole]) else [])
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        if self.blanks == "drop":
+            if doubtful:
+                data, upto = self._joined([_OTHER_BLANKS.sub(" ", t) for t in texts])
+            plain = np.append(data[1:], data[:1]) < 128
+            data = np.where(UPPER[data] & plain, data | 32, np.where(BLANK[data], 32, data)).astype(np.uint8)
+        starts = self._cut(data)
+        codes = column_of(data, np.append(starts, len(data)), pa.string()).dictionary_encode()
+        pieces = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, which = self._known(pieces), codes.indices.to_numpy(zero_copy_only=False)
+        if self.blanks == "lead":  # a line's first piece has its line feed with it
+            known = [self.line_feed + raw if p[0] == "\n" else raw for p, raw in zip(pieces, known, strict=True)]
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.array([len(raw) for raw in known], dtype=np.int64) // 4
+        n, first = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        stops = np.cumsum(n)
+        raw = flat[np.arange(stops[-1]) + np.repeat(first - stops + n, n)].tobytes()
+        borders = np.append(0, np.append(0, stops)[np.searchsorted(starts, upto)] * 4).tolist()
+        skip = 4 * (self.blanks == "lead")  # a text has no line feed before it
+        return [raw[lo + skip : hi] for lo, hi in zip(borders, borders[1:], strict=False)]
+
+    @staticmethod
+    def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts, each with a line feed before it, and where each ends."""
+        sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+        return np.frombuffer(("\n" + "\n".join(texts)).encode(), dtype=np.uint8), np.cumsum(sizes) + np.arange(1, len(texts) + 1)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none."""
-        cut: list[list[list[str]] | None] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif self.unsure(text):
-                cut.append(None)
-            elif self.blanks == "drop":
-                cut.append([self._lower(text).split()])
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                for line in lines:
-                    line[0] = "\n" + line[0]
-                cut.append(lines)
-        if len(self.cache) > self.room:
-            self.older, self.cache = self.cache, {}
-        new = set().union(*(line for lines in cut if lines for line in lines))
-        if new := [p for p in new if p not in self.cache]:
-            self._add(new)
-        get, out = self.cache.__getitem__, []
-        for text, lines in zip(texts, cut, strict=True):
-            out.append(self._whole([text])[0] if lines is None else self.line_feed.join([b"".join(map(get, line)) for line in lines]))
-        return out
+        out, some, size = [], [], 0
+        for text in [t for t in texts if t]:
+            some.append(text)
+            size += len(text)
+            if size > BLOCK:
+                out += self._block(some)
+                some, size = [], 0
+        if some:
+            out += self._block(some)
+        ids = iter(out)
+        return [next(ids) if text else b"" for text in texts]
 
 
 @lru_cache(maxsize=4)

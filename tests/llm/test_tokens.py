@@ -38,6 +38,24 @@ def test_encoder_equals_library_on_anything(encoders, text):
     assert ids(own.encode_many([text])[0]) == inner.encode(text, add_special_tokens=False).ids
 
 
+def test_capitals_before_combining_marks(encoders):
+    """Some letters are composed with a mark only in lower case, which the library makes after composing."""
+    own, inner = encoders
+    texts = ["H\u0331a J\u030c. T\u0308, W\u030a Y\u030aa", "a\u00a0b.\u2028C\u3000d, \u2003e\u0301.", "É. é, Ö... ×. ÷, 1. x2'' É's. \"", "a" * 50 + " . .. a", "\n", "  "]
+    for text in texts:
+        assert ids(own.encode_many([text])[0]) == inner.encode(text, add_special_tokens=False).ids
+    assert [ids(x) for x in own.encode_many(texts)] == [inner.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(("name", "blanks"), KINDS)
+def test_words_are_kept_without_their_marks(name, blanks):
+    """A word with marks is two pieces, so 400 different ones fill the cache with no more than their words and marks."""
+    own = Encoder(tokenizer_path(name), blanks)
+    marks = [".", ",", "!?", "***"]
+    own.encode_many([" ".join(f"{a}{b}é{m}" for a in "abcdefghij" for b in "klmnopqrst" for m in marks)])
+    assert len(own.cache) <= 100 + len(marks) + 1
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 63, 5000):
         keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n))
