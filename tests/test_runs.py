@@ -4,8 +4,10 @@ import struct
 import pytest
 from model import all_overlaps, complement, unique
 
+from strandweave.operators import graph
 from strandweave.operators.graph import neighbour_chunks
 from strandweave.operators.runs import overlap_runs, run_table
+from strandweave.plans import storage
 from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
 from strandweave.plans.scans import placed, segmented_scan
 from strandweave.plans.storage import materialize
@@ -109,6 +111,32 @@ def test_neighbour_chunks(spark):
     assert neighbour_chunks(frame.limit(0)).collect() == []
 
 
+def test_lists_over_ranges_of_edges(spark, monkeypatch):
+    """Sources that span several ranges, begin or end one, or stand within one; edges are shuffled once, and only few of them again."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 12)
+    rng = random.Random(12)
+    edges = [(3, i) for i in range(100)] + [(i, rng.randrange(1000)) for i in range(150) for _ in range(rng.randint(0, 3))]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    want, by, place = [], {}, 0
+    for s, d in sorted(edges):
+        by.setdefault(s, []).append(d)
+    rows = []
+    for s, ds in by.items():
+        rows.append((s, place, len(ds), ds))
+        want += [(s, k // 7, place + k, ds[k : k + 7]) for k in range(0, len(ds), 7)]
+        place += len(ds)
+    storage._made.append([])
+    try:
+        found = neighbour_chunks(frame, 7)
+        made = storage._made.pop()
+    finally:
+        stored = spark.read.parquet(made[0])
+    assert sorted((r.src, r.chunk, r.first, r.targets) for r in found.collect()) == want
+    assert len(made) == 1 and stored.where("src IS NULL").count() == len(edges) // 12 and 0 < stored.where("chunk IS NULL AND src <> 3 AND src IS NOT NULL").count() < len(edges) // 2
+    assert sorted((r.src, r.first, r.degree, r.targets) for r in graph.csr(frame).collect()) == rows
+    assert graph.csr(frame.limit(0)).collect() == []
+
+
 def test_segmented_scans(spark):
     """One segment holds half of the rows and spans many blocks; some segments share a block; nulls count for nothing."""
     rng = random.Random(6)
