@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandweave.config import Config, size_to_bytes
 from strandweave.operators.graph import per_length
-from strandweave.operators.runs import overlap_runs
-from strandweave.plans.assemble import build_graph, run_summary, stored_unique
+from strandweave.operators.runs import strand_runs
+from strandweave.plans.assemble import build_graph, run_summary, stored_strands
 from strandweave.plans.shipping import ship
 from strandweave.plans.storage import cleanup, use_folder
 from strandweave.sinks.csr import write_csr
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> Timings:
             equal_length(reads)
         if config.format == "csr-binary":
             with timings.phase("reduce"):
-                runs = overlap_runs(stored_unique(reads), config.min_overlap)
+                runs = strand_runs(stored_strands(reads), config.min_overlap)
             with timings.phase("write"):
                 write_csr(runs, config.output)
             return _done(timings)

@@ -4,11 +4,11 @@ import struct
 import pytest
 from model import all_overlaps, complement, unique
 
-from strandweave.operators import graph
+from strandweave.operators import graph, meeting
 from strandweave.operators.graph import neighbour_chunks
-from strandweave.operators.runs import overlap_runs, run_table
+from strandweave.operators.runs import StrandRuns, overlap_runs, run_table, strand_runs
 from strandweave.plans import storage
-from strandweave.plans.assemble import build_graph, run_summary, unique_oriented
+from strandweave.plans.assemble import build_graph, run_summary, stored_strands, unique_oriented
 from strandweave.plans.scans import placed, segmented_scan
 from strandweave.plans.storage import materialize
 from strandweave.sinks import csr
@@ -179,3 +179,38 @@ def test_settled_results_leave_nothing_else(spark):
     with pytest.raises(ValueError):
         settled(spark, lambda: build_graph(found, 0).edges)
     assert settled(spark, lambda: found.limit(1)).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize(("small", "most"), [(512, 1 << 20), (4, 1 << 20), (3, 1)])
+def test_whole_runs_against_model(spark, tmp_path, monkeypatch, seed, small, most):
+    """Runs as rows where their anchor's rows are put together: compared row by row, by sorted keys, and put together by keys."""
+    monkeypatch.setattr(meeting, "SMALL", small)
+    reads, least = case(seed)
+    half = reads[0][: len(reads[0]) // 2]
+    reads += ["A" * len(reads[0])] + ([half + complement(half)] if len(reads[0]) % 2 == 0 else [])
+    rows = unique(reads)
+    runs = strand_runs(stored_strands(spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string").repartition(3)), least, most)
+    want = all_overlaps(rows, least)
+    found = [(r.src, r.dst, r.ovlp) for r in runs.expand().collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    degrees = lambda end: {i: sum(e[end] == i for e in want) for i in {e[end] for e in want}}
+    assert {r.src: r.degree for r in runs.out_degree().collect()} == degrees(0)
+    assert {r.dst: r.degree for r in runs.in_degree().collect()} == degrees(1)
+    stats = runs.edge_stats().first()
+    assert (stats.n_sources, stats.n_sinks, stats.n_edges, stats.max_out_degree) == (len(degrees(0)), len(degrees(1)), len(want), max(degrees(0).values(), default=0))
+    heads, tails = {}, {}
+    for i, s in rows.items():
+        for n in range(least, len(s)):
+            heads.setdefault(s[:n], []).append(i)
+            tails.setdefault(s[-n:], []).append(i)
+    if isinstance(runs, StrandRuns):
+        assert sorted(tuple(r) for r in runs.table().collect()) == sorted((len(k), len(tails[k]), len(heads[k]), min(tails[k]), min(heads[k])) for k in heads if k in tails)
+        assert runs.large is None if most > 1 else runs.large is not None or not want
+    folder = (tmp_path / "csr").as_uri()
+    for per_file, block in ((1 << 20, 4096), (3, 2)):
+        csr.write_csr(runs, folder, per_file)
+        found = [(r.src, r.dst, r.ovlp) for r in csr.read_csr(spark, folder, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert csr.read_header(spark, folder) == stats.asDict()
+    assert "Exchange" not in csr.read_csr(spark, folder)._jdf.queryExecution().executedPlan().toString()
