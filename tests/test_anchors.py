@@ -5,12 +5,14 @@ import random
 import pytest
 from model import all_overlaps
 
-from strandweave.functions.fingerprint import Hash
+from strandweave.functions.fingerprint import DUAL, Hash
+from strandweave.operators import diagnostics
 from strandweave.operators.anchors import Anchors
 from strandweave.operators.diagnostics import collisions_by_round
 from strandweave.operators.overlap import candidates
 from strandweave.operators.runs import overlap_runs
-from strandweave.plans.assemble import unique_oriented
+from strandweave.operators.reads import both_strands
+from strandweave.plans.assemble import stored_strands, unique_oriented
 from strandweave.plans.storage import materialize
 
 
@@ -60,3 +62,15 @@ def test_collision_rounds_shuffle_reads_whole(spark):
             want.setdefault((n, "suffix"), set()).add(s[-n:])
     assert {(r.ovlp, r.side): r.n_strings for r in found.collect()} == {k: len(v) for k, v in want.items()}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # by side, not by length
+
+
+@pytest.mark.parametrize(("letters", "size", "least"), [("AC", 9, 4), ("ACGT", 10, 5), ("AT", 11, 6), ("AT", 8, 2), ("ACGT", 48, 32), ("ACGN", 9, 4)])
+@pytest.mark.parametrize("pair", [(Hash(11, 5), Hash(3, 7)), DUAL])
+def test_collisions_of_both_strands_in_one_order(spark, monkeypatch, letters, size, least, pair):
+    """One shuffle of packed strings, without a row for each length, gives what the general form does."""
+    monkeypatch.setattr(diagnostics, "TASK_STRINGS", 10)
+    reads = cut(random.Random(13), letters, size, 60) + ["A" * size, "ACGT" * (size // 4) + "A" * (size % 4), "AC" + "T" * (size - 2), "AC" + "T" * (size - 3) + "A"]
+    strands = stored_strands(spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string"))
+    found, want = diagnostics.strand_collisions(strands, least, pair), collisions_by_round(both_strands(strands), least, pair)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.dtypes == want.dtypes
+    assert ("Generate" in found._jdf.queryExecution().optimizedPlan().toString()) == (letters == "ACGN" or least < 4)
