@@ -4,7 +4,9 @@ import pytest
 
 from strandweave.operators.reads import with_fingerprint
 from strandweave.plans.matrix import BaseMatrix
-from strandweave.streaming.distinct import read_distinct, write_distinct
+from strandweave.operators.reads import both_strands, read_strands
+from strandweave.plans.assemble import unique_oriented
+from strandweave.streaming.distinct import read_distinct, read_distinct_strands, smallest_strands, write_distinct
 
 
 def some_reads(n, size=9, seed=2):
@@ -76,3 +78,18 @@ def test_distinct_reads_of_a_stream(spark, tmp_path):
     assert found == want
     assert read_distinct(spark, target).count() == len(want)
     assert len(list((tmp_path / "out").iterdir())) >= 4
+
+
+def test_stream_of_both_strands(spark, tmp_path):
+    """A row for each read, packed, whatever the order of files; a string that is its own complement has one id."""
+    rng = random.Random(8)
+    reads = ["".join(rng.choice("ACGT") for _ in range(4)) for _ in range(150)] + ["ACGT", "ACGN"]
+    rows = read_strands(spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string")).select("code", "x", "y")
+    assert rows.count() < len(reads) + 3
+    rows.orderBy("x", ascending=False).repartition(6).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("code binary, x long, y long").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.streaming.minBatchesToRetain")
+    write_distinct(stream, f"{tmp_path}/out", f"{tmp_path}/state", smallest_strands).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == before
+    found = {(r.id, r.seq) for r in both_strands(read_distinct_strands(spark, f"{tmp_path}/out")).collect()}
+    assert found == {(r.id, r.seq) for r in unique_oriented(spark.createDataFrame(list(enumerate(reads)), "ordinal long, seq string")).collect()}
